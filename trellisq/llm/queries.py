@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality_fm, quality_rules, secrets_scan, sentencepiece_codec, sharding, toxicity
+from . import media, minhash_dedup, mixing, quality_fm, quality_rules, secrets_scan, sentencepiece_codec, sharding, toxicity
 from .common import held_out, table
 
 
@@ -46,6 +46,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs).select("doc_id", "slot", "shard", "n_bytes")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets_scan.scan(docs, secrets_scan.fit(docs), ["doc_id"])
@@ -57,7 +61,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_sentencepiece, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_sharding, op8_secret_scans, op9_media)
+    for f in (op1_mixing, op2_sentencepiece, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_sharding, op7_near_duplicates, op8_secret_scans, op9_media)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
