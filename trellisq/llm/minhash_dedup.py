@@ -347,14 +347,33 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts of white space, have no shingles and stand alone. kept: doc_id = component_id; a row with a null id is kept
     only if its whole component has no ids. Rows that repeat a kept doc_id and its text are kept too.
     """
+    out = _grouped(docs.select("doc_id", "text"), ["doc_id"])
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns of each row (doc_id among them) with n_shingles, node, component_id and group (null for the empty set)."""
     tuned(docs.sparkSession)
-    rows = cut_lineage(sketches(docs.select("doc_id", "text"), ["doc_id"]))
+    rows = cut_lineage(sketches(docs, keep))
     ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("first").alias("first"), F.min("rest").alias("rest"))
     nodes = cut_lineage(ids)
     comps = components(links(docs, nodes))
     least = comps.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_node = comps.join(least, "component").select("node", "least")
-    of_node = nodes.select("node", "doc_id").join(of_node, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    of_node = comps.join(least, "component").select("node", "component", "least")
+    of_node = nodes.select("node", "doc_id").join(of_node, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("group"), F.coalesce("least", "doc_id").alias("component_id")
+    )
+    out = rows.select(*keep, "n_shingles", "node").join(of_node, "node", "left")
+    return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def distinct(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of near copies, all columns kept: the one with the smallest doc_id, ties by text.
+
+    Documents without shingles all stay, but of rows equal in id and text one stays.
+    """
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    rows = _grouped(keyed.select("doc_id", "text", "__row"), ["doc_id", "__row"])
+    best = rows.where("node IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("b")).select("b.__row")
+    stay = best.unionByName(rows.where("node IS NULL").select("__row")).distinct()
+    return keyed.join(stay, "__row").dropDuplicates(["__row"]).select(*docs.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, minhash_dedup, mixing, quality_fm, quality_rules, secrets_scan, sentencepiece_codec, sharding, toxicity
+from . import media, minhash_dedup, mixing, quality_fm, quality_rules, secrets_scan, sentencepiece_codec, sharding, suffix_dedup, toxicity
 from .common import held_out, table
 
 
@@ -59,9 +59,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_sentencepiece, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_sharding, op7_near_duplicates, op8_secret_scans, op9_media)
+    for f in (op1_mixing, op2_sentencepiece, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_sharding, op7_near_duplicates, op8_secret_scans, op9_media, op10_suffix_dedup)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
