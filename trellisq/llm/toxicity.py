@@ -91,10 +91,14 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 128, ra
     rows = []
     for t in texts:
         ids, n = np.unique(subwords(tokens(t) or [""])[0], return_counts=True)
-        rows.append((ids, n / (n.sum() + NEUTRAL)))
+        rows.append((ids.astype(np.int32), (n / (n.sum() + NEUTRAL)).astype(np.float32)))
+    common = sum(np.bincount(ids, minlength=BUCKETS) for ids, _ in rows) >= LEAST
+    common[0] = True  # so that no row is left empty
+    for k, (ids, vals) in enumerate(rows):
+        ok = common[ids]
+        rows[k] = (ids[ok], vals[ok]) if ok.any() else (np.zeros(1, np.int32), np.zeros(1, np.float32))
     x = Rows(rows)
-    common = np.bincount(x.ids, minlength=BUCKETS) >= LEAST
-    x.vals = np.where(common[x.ids], x.vals, 0)
+    del rows
     r = np.random.default_rng(seed)
     p = {"E": r.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), "W": r.normal(0, 0.5, (DIM, 2)).astype(np.float32), "b": np.log(np.array([1 - y.mean(), y.mean()], np.float32))}
     adam = Adam(p, rate)
