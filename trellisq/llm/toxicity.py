@@ -28,9 +28,9 @@ SAMPLE, TOXIC = 6000, 0.7
 #: A text's average is scaled by this ahead of the layer, so that few words in a long text can still decide.
 SCALE = 100.0
 #: Features without a vector that each text's average counts besides its own, so that one odd feature doesn't decide a short text.
-NEUTRAL = 200
-#: A feature must occur in so many sample texts to have a vector.
-LEAST = 8
+NEUTRAL = 100
+#: A feature must occur in so many sample texts, and differ between the labels by so many standard errors, to have a vector.
+LEAST, SIGMAS = 5, 5.0
 #: Words whose sums a task remembers at most, beside those of one batch.
 KNOWN_WORDS = 300_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +84,16 @@ class Model:
         return {"values": self.values, "bias": self.bias, "known": {}}
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.03, decay: float = 1.5e-4, seed: int = 1) -> Model:
+def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The features whose shares of texts differ between the labels by more than chance: the others get no vector."""
+    n = [max(1, int((y == k).sum())) for k in (0, 1)]
+    share = [sum((np.bincount(ids, minlength=BUCKETS) for ids, label in zip(rows, y, strict=True) if label == k), np.zeros(BUCKETS)) / n[k] for k in (0, 1)]
+    both = (share[0] * n[0] + share[1] * n[1]) / sum(n)
+    spread = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
+    return (np.abs(share[1] - share[0]) > SIGMAS * spread) & (both * sum(n) >= LEAST)
+
+
+def train(texts: list[str], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.03, decay: float = 1e-6, seed: int = 1) -> Model:
     """Fits embeddings and layer; the same texts and labels give the same model. Without both labels the scores are the label's share."""
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
@@ -92,10 +101,9 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 128, ra
     for t in texts:
         ids, n = np.unique(subwords(tokens(t) or [""])[0], return_counts=True)
         rows.append((ids.astype(np.int32), (n / (n.sum() + NEUTRAL)).astype(np.float32)))
-    common = sum(np.bincount(ids, minlength=BUCKETS) for ids, _ in rows) >= LEAST
-    common[0] = True  # so that no row is left empty
+    told = telling([ids for ids, _ in rows], y)
     for k, (ids, vals) in enumerate(rows):
-        ok = common[ids]
+        ok = told[ids]
         rows[k] = (ids[ok], vals[ok]) if ok.any() else (np.zeros(1, np.int32), np.zeros(1, np.float32))
     x = Rows(rows)
     del rows
@@ -114,7 +122,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 128, ra
             gm = g @ p["W"].T * SCALE
             adam.update({"E": scatter(ids, gm[owner] * vals[:, None], BUCKETS) + decay * p["E"], "W": mean.T @ g + decay * p["W"], "b": g.sum(0)})
     w = p["W"][:, 1] - p["W"][:, 0]
-    return Model(np.where(common, p["E"] @ w, 0).astype(np.float32), float(p["b"][1] - p["b"][0]))
+    return Model(np.where(told, p["E"] @ w, 0).astype(np.float32), float(p["b"][1] - p["b"][0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
