@@ -33,7 +33,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Characters read: BEFORE ahead of the candidate, and WIDTH in all.
 BEFORE, WIDTH = 24, 88
 #: Documents that findings are taken from, findings of each label at most, and the recall that the threshold keeps.
-SAMPLE, MOST, RECALL = 4000, 1500, 0.98
+SAMPLE, MOST, RECALL = 3000, 1500, 0.98
 CLASSES = 48
 CODE = {c: 2 + i for i, c in enumerate(string.ascii_lowercase)} | {c: 2 + i for i, c in enumerate(string.ascii_uppercase)}
 CODE |= {c: 28 + i for i, c in enumerate(string.digits)} | {c: 38 + i for i, c in enumerate("+/_.=-:\"' ")}
@@ -183,11 +183,10 @@ def findings(texts: list[str], most: int = MOST) -> list[tuple[str, int, int, in
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Network:
-    """Trains on the findings of the ``sample`` documents whose ids hash lowest; null ids sort first, ties by text."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64(F.lit("secrets"), "doc_id"), "doc_id").limit(sample).distinct()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(ids), "doc_id").where(F.length("t") < 200_000)
-    hits = r"[A-Za-z0-9+/_.=-]{16,}"
-    texts = [r[0] for r in rows.select(F.concat_ws("\n", F.regexp_extract_all("t", F.lit(rf".{{0,{BEFORE}}}{hits}.{{0,{WIDTH}}}"), F.lit(0))).alias("t"), "doc_id").where("t != ''").orderBy("doc_id", "t").collect()]
+    """Trains on the findings of the ``sample`` documents whose ids hash lowest; of repeated ids at most twice as many rows."""
+    ids = docs.select("doc_id").orderBy(F.xxhash64(F.lit("secrets"), "doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "t").limit(2 * sample)
+    texts = [t for _, t in sorted((r[0] or 0, r[1]) for r in rows.collect())]
     items = findings(texts) + generated(3000)
     random.Random(seed).shuffle(items)
     codes, bits = windows([x[:3] for x in items])
