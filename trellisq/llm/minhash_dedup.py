@@ -6,9 +6,9 @@ of a second one, each made of two minhashes. So ROOT * ROOT tables of four minha
 
 1. Texts with equal shingle sets become one node. 2. Buckets of the first collection that hold one node are dropped
 before anything else is moved; in the others, nodes that share a key of the second collection too, hence a table, are
-candidates. A bucket's candidates are joined to leaders: every node is joined to each leader whose sketch agrees with
-its own at least in part, and is a leader itself unless one agrees almost wholly, so that no pair in a bucket is lost
-through the choice of leaders, and no bucket gives all its pairs. 3. Clusters of candidates: connected components.
+candidates. A bucket's candidates are connected through leaders: every node goes with each leader whose sketch agrees
+with its own at least in part, and is a leader itself unless one agrees almost wholly, so that no pair in a bucket is
+lost through the choice of leaders; a bucket gives at most one pair for each of its nodes. 3. Clusters of candidates: connected components.
 4. Links are confirmed on the full shingle sets within clusters. A cluster of more than CHUNK nodes or SHINGLES
 shingles is dealt into chunks; components found within chunks, and those of one node from each, are merged, and then
 only pairs of chunks that still differ in component are compared, which is exact whatever the earlier steps gave.
@@ -142,56 +142,72 @@ def by_group(batches: Iterator[pa.RecordBatch], names: list[str], rows: int) ->
         yield pa.Table.from_batches(held)
 
 
-def lead(group: np.ndarray, second: np.ndarray, sketch: np.ndarray, attach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, leaders): each row with every leader of its group that it's joined to, itself if it is one.
+def lead(group: np.ndarray, second: np.ndarray, sketch: np.ndarray, attach: float, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, others, leaders): pairs of rows that connect each group as its leaders do, at most one for each row; the leaders.
 
     group: sorted group numbers. Round after round the first row of each group that no leader covers becomes a leader
-    and is compared with all rows of its group at once.
+    and is compared with all rows of its group at once. A group is done when it's connected, or, where ``whole``, when
+    every row is covered.
     """
     n = len(group)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     of = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).astype(np.int64)]))
-    covered = np.zeros(n, bool)
-    rows, leader_of = [], []
+    covered, part_of = np.zeros(n, bool), np.arange(n)
+    parts = np.bincount(of)
+    rows, others, leaders = [], [], []
     live = np.arange(n)
     while len(live):
         open_rows = live[~covered[live]]
         leader = np.full(len(first), -1)
         leader[of[open_rows[::-1]]] = open_rows[::-1]  # the first open row of each group is written last
         live = live[leader[of[live]] >= 0]
-        for part in np.array_split(live, max(1, len(live) // 20_000)):
-            l = leader[of[part]]
-            same = (sketch[part] == sketch[l]).mean(1)
-            ok = ((second[part] == second[l]).any(1) & (same >= attach)) | (part == l)
-            rows.append(part[ok])
-            leader_of.append(l[ok])
-            covered[part[ok & (same >= COVER)]] = True
-        left = np.zeros(len(first), bool)
-        left[of[live[~covered[live]]]] = True
-        live = live[left[of[live]]]
-    return np.concatenate(rows), np.concatenate(leader_of)
+        leaders.append(leader[leader >= 0])
+        covered[leaders[-1]] = True
+        for some in np.array_split(live, max(1, len(live) // 20_000)):
+            l = leader[of[some]]
+            same = (sketch[some] == sketch[l]).mean(1)
+            ok = (second[some] == second[l]).any(1) & (same >= attach) & (some != l)
+            covered[some[ok & (same >= COVER)]] = True
+            r, l = some[ok], l[ok]
+            apart = part_of[r] != part_of[l]
+            _, one = np.unique(part_of[r[apart]], return_index=True)  # one row of each part that a leader joins to its own
+            r, l = r[apart][one], l[apart][one]
+            rows.append(r)
+            others.append(l)
+            into = np.arange(n)
+            into[part_of[r]] = part_of[l]
+            part_of[live] = into[part_of[live]]
+            parts -= np.bincount(of[r], minlength=len(parts))
+        go_on = np.zeros(len(first), bool)
+        rest = live[~covered[live]]
+        go_on[of[rest]] = whole[rest] | (parts[of[rest]] > 1)
+        live = live[go_on[of[live]]]
+    return np.concatenate(rows), np.concatenate(others), np.concatenate(leaders)
 
 
 def _candidates(buckets: DataFrame, groups: list[str], attach: float) -> DataFrame:
-    """(key, a, b): nodes and their leaders within each group of buckets' rows."""
+    """(key, a, b): pairs of nodes that connect each group of buckets' rows, and for groups that are ``wide`` the leaders as (key, a, a)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, groups, 20_000):
             t = t.combine_chunks()
-            cols = [t.column(c).to_numpy() for c in groups]
             change = np.zeros(len(t), bool)
-            for c in cols:
-                change[1:] |= c[1:] != c[:-1]
+            for c in groups:
+                col = t.column(c).to_numpy()
+                change[1:] |= col[1:] != col[:-1]
             raw = np.frombuffer(b"".join(t.column("rest").to_pylist()), np.uint8).reshape(len(t), -1)
             second, sketch = raw[:, : 8 * ROOT].copy().view(np.int64), raw[:, 8 * ROOT :].copy().view(np.uint16)
-            rows, leaders = lead(np.cumsum(change), second, sketch, attach)
+            whole = t.column("wide").to_numpy()
+            rows, others, leaders = lead(np.cumsum(change), second, sketch, attach, whole)
+            leaders = leaders[whole[leaders]]
+            left, right = pa.array(np.concatenate([rows, leaders])), pa.array(np.concatenate([others, leaders]))
             node = t.column("node").combine_chunks()
-            out = [t.column("key").combine_chunks().take(pa.array(rows)), node.take(pa.array(rows)), node.take(pa.array(leaders))]
-            for at in range(0, len(rows), 50_000):
+            out = [t.column("key").combine_chunks().take(left), node.take(left), node.take(right)]
+            for at in range(0, len(left), 50_000):
                 yield pa.RecordBatch.from_arrays([x.slice(at, 50_000) for x in out], names=["key", "a", "b"])
 
     parts = n_parts(buckets)
-    return buckets.select("key", *[g for g in groups if g != "key"], "node", "rest").repartition(parts, *groups).sortWithinPartitions(*groups, "node").mapInArrow(run, "key long, a binary, b binary")
+    return buckets.select("key", *[g for g in groups if g != "key"], "wide", "node", "rest").repartition(parts, *groups).sortWithinPartitions(*groups, "node").mapInArrow(run, "key long, a binary, b binary")
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
@@ -203,8 +219,7 @@ def clusters(nodes: DataFrame) -> DataFrame:
     buckets = met.join(nodes.select("node", "rest"), "node")
     found = cut_lineage(_candidates(buckets, ["key", "part"], ATTACH))
     links = found.where("a <> b").select("a", "b")
-    wide = n.where(F.col("n") > BUCKET).select("key")
-    leaders = found.where("a = b").join(wide, "key").select("key", F.col("a").alias("node")).join(nodes.select("node", "rest"), "node")
+    leaders = found.where("a = b").select("key", F.lit(False).alias("wide"), F.col("a").alias("node")).join(nodes.select("node", "rest"), "node")
     links = links.unionByName(_candidates(leaders, ["key"], ATTACH - 0.1).where("a <> b").select("a", "b"))
     return components(links)
 

@@ -79,16 +79,16 @@ class Hashes:
         return own[first], first, np.concatenate([first[1:] - 1, [len(own) - 1]])
 
 
-def pieces(raw: bytes) -> Iterator[tuple[int, Hashes]]:
-    """(offset, hashes) of pieces that together hold every string of LENGTH bytes once."""
+def pieces(raw: bytes) -> Iterator[tuple[int, int, Hashes]]:
+    """(first start, end of the starts, hashes) of pieces that together hold every string of LENGTH bytes once."""
     for at in range(0, len(raw) - LENGTH + 1, PIECE):
-        yield at, Hashes(raw[at : at + PIECE + LENGTH - 1])
+        yield at, at + PIECE, Hashes(raw[at : at + PIECE + LENGTH - 1])
 
 
 def anchor_rows(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
     """(rank of the prefix as one number, both ranks, hull, anchor, first start, last start) for the anchors of a text."""
     core = LENGTH - WINDOW + 1
-    for at, h in pieces(raw):
+    for at, _, h in pieces(raw):
         p, lo, hi = h.anchors(LENGTH, WINDOW)
         k1, k2 = h.pair(p, core)
         hull = _mix(h.of(lo, hi - lo + LENGTH) ^ ((p - lo).astype(np.uint64) * _M1) ^ ((p - hi).astype(np.uint64) * _M2))
@@ -156,8 +156,8 @@ def _finer(width: int):  # noqa: ANN202
         for raw, m, todo in zip(_bytes(b), b.column("m").to_pylist(), b.column("todo"), strict=True):
             at, lo, hi = (np.array(todo.values.field(i).to_numpy(zero_copy_only=False), np.int64) for i in range(3))
             n = 0
-            for offset, h in pieces(raw):
-                mine = (lo >= offset) & (lo < offset + PIECE)
+            for offset, end, h in pieces(raw):
+                mine = (lo >= offset) & (lo < end)
                 p, a, z = at[mine] - offset, lo[mine] - offset, hi[mine] - offset
                 first, last = (p - z) // width, (p - a) // width  # blocks by their distance before the anchor
                 each = last - first + 1
