@@ -154,7 +154,7 @@ def _finer(width: int):  # noqa: ANN202
     def rows(b: pa.RecordBatch) -> Iterator[tuple]:
         found, counts = [], []
         for raw, m, todo in zip(_bytes(b), b.column("m").to_pylist(), b.column("todo"), strict=True):
-            at, lo, hi = (np.array(todo.values.field(i).to_numpy(zero_copy_only=False), np.int64) for i in range(3))
+            at, lo, hi = (np.array(todo.values.field(k).to_numpy(zero_copy_only=False), np.int64) for k in ("at", "lo", "hi"))
             n = 0
             for offset, end, h in pieces(raw):
                 mine = (lo >= offset) & (lo < end)
@@ -191,7 +191,7 @@ def _cut(b: pa.RecordBatch) -> Iterator[tuple]:
     """(content, bytes removed, runs removed, SHA-256 of what stays)."""
     removed, runs, digests = [], [], []
     for raw, spans in zip(_bytes(b), b.column("spans"), strict=True):
-        lo, end = (np.array(spans.values.field(i).to_numpy(zero_copy_only=False), np.int64) for i in range(2))
+        lo, end = (np.array(spans.values.field(k).to_numpy(zero_copy_only=False), np.int64) for k in ("lo", "end"))
         edge = np.zeros(len(raw) + 1, np.int64)
         np.add.at(edge, lo, 1)
         np.add.at(edge, end, -1)
