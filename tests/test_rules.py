@@ -160,3 +160,17 @@ def test_stream_runs_each_batch(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "in"))
     streams.run_each(streams.stream(spark, str(tmp_path / "in"), spark.range(1).schema), lambda b: b.where("id % 2 = 0"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_facts_are_streamed_by_round(spark):
+    seen = []
+    edges = spark.range(4).selectExpr("id AS s", "id + 1 AS o")
+    closure_step = lambda new, full: new.selectExpr("s", "o AS m").join(edges.selectExpr("s AS m", "o"), "m").select("s", "o")
+    saturate(edges, closure_step, each=lambda k, new: seen.append((k, new.count())))
+    assert seen == [(1, 3), (2, 2), (3, 1)]
+
+
+def test_content_of_files(spark, tmp_path):
+    (tmp_path / "a.n3").write_text("x\ny")
+    rows = spark.createDataFrame([(str(tmp_path / "a.n3"), 1)], "path string, k int")
+    assert [tuple(r) for r in triples.content(spark, rows).select("k", "content").collect()] == [(1, "x\ny")]

@@ -91,6 +91,21 @@ def promote(facts: DataFrame, most_rounds: int = 100) -> DataFrame:
     return saturate(facts, lambda new, full: fire(new, full).unionByName(fire(full, new)), most_rounds=most_rounds)
 
 
+def proved(bindings: DataFrame, rule: str, premises: list[tuple], conclusion: tuple) -> DataFrame:
+    """Facts of a rule's head with why they hold: rule and premises, an array of facts as text; one proof for each fact.
+
+    premises and conclusion are triples of columns (Var) and constants. Of several proofs the least one stays, so that
+    reruns agree.
+    """
+    from .patterns import Var
+
+    place = lambda x: F.col(x) if isinstance(x, Var) else F.lit(x)
+    text = lambda t: F.concat_ws(" ", *[place(x).cast("string") for x in t])
+    s, p, o = (place(x).cast("string") for x in conclusion)
+    rows = bindings.select(s.alias("s"), p.alias("p"), o.alias("o"), F.lit(rule).alias("rule"), F.array(*map(text, premises)).alias("premises"))
+    return rows.groupBy("s", "p", "o").agg(F.min(F.struct("rule", "premises")).alias("why")).select("s", "p", "o", "why.rule", "why.premises")
+
+
 def project(facts: DataFrame, *columns) -> DataFrame:  # noqa: ANN002
     """log:query: the distinct projection of what a body selects from the saturated facts."""
     return facts.select(*columns).distinct()

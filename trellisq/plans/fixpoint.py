@@ -29,17 +29,18 @@ class NotSettled(RuntimeError):
     """The rules still derive facts after the allowed number of rounds."""
 
 
-def saturate(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], key: list[str] | None = None, most_rounds: int = 1000) -> DataFrame:
+def saturate(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], key: list[str] | None = None, most_rounds: int = 1000, each: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """The least set that holds base and, for all of its rows, what step derives.
 
     step(new, full) gives what one application of the rules derives with at least one row of ``new``; for a rule with two
     recursive atoms that is the union over the atom that reads ``new``. key: the columns by which a fact is known; the
-    first spelling stays. Rounds go on until nothing new comes, so a rule must not invent values without end.
+    first spelling stays. Rounds go on until nothing new comes, so a rule must not invent values without end. each:
+    called with the round's number and its new facts, to stream facts as they're derived.
     """
     key = key or base.columns
     full = new = cut(base.dropDuplicates(key))
     done = [full]
-    for _ in range(most_rounds):
+    for rounds in range(1, most_rounds + 1):
         found = step(new, full).select(*base.columns).dropDuplicates(key)
         known = full.select(*[F.col(f"`{k}`").alias(f"__{k}") for k in key])
         same = None
@@ -49,6 +50,8 @@ def saturate(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
         new = cut(found.join(known, same, "left_anti"))
         if new.isEmpty():
             return full
+        if each:
+            each(rounds, new)
         done.append(new)
         if len(done) > 8:
             done = [cut(_union(done))]

@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType
 from .functions import BUILTINS, datatypes, lists, maths, solve, strings, times
 from .functions.logic import known_key, skolem, term, unify_key
 from .operators.patterns import ALLEN, Var, allen, as_of, body, column_facts, head, match, range_join
-from .operators.rules import FuseError, conclusion, conjunction, existential, fuse, graph, graph_includes, patch, project, promote, same_as
+from .operators.rules import FuseError, conclusion, conjunction, existential, fuse, graph, graph_includes, patch, project, promote, proved, same_as
 from .operators.scoped import aggregate_in, collect_all_in, for_all_in, includes, not_includes
 from .plans.fixpoint import closure, layers, reach, saturate
 from .sources import messages, triples
@@ -581,6 +581,14 @@ def derived_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples.derived(full, base)
 
 
+@query("""SELECT 'c' || c_custkey AS s, 'trades' AS p, r_name AS o, 'rule7' AS rule, 'c' || c_custkey || ' nation ' || n_name AS first_premise FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def proof_of_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived facts with the rule and the premises of a proof."""
+    g = subclass_geo(spark, sf_dir).withColumn("c", F.concat(F.lit("c"), "c_custkey"))
+    got = proved(g, "rule7", [(Var("c"), "nation", Var("n_name")), (Var("n_name"), "region", Var("r_name"))], (Var("c"), "trades", Var("r_name")))
+    return got.select("s", "p", "o", "rule", F.col("premises")[0].alias("first_premise"))
+
+
 # User functions
 
 

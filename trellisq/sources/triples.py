@@ -51,6 +51,14 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
+def content(spark: SparkSession, paths: DataFrame, path: str = "path") -> DataFrame:
+    """log:content: paths (a short list of names that Spark can read) with column content, the whole text of each file."""
+    names = [r[0] for r in paths.select(path).distinct().collect()]
+    files = spark.read.text(names, wholetext=True).select(F.input_file_name().alias("__file"), F.col("value").alias("content"))
+    tail = F.regexp_replace(F.col(path), "^[a-z0-9]+:/+", "/")
+    return paths.join(files.withColumn("__file", F.regexp_replace("__file", "^[a-z0-9]+:/+", "/")), tail == F.col("__file"), "left").drop("__file")
+
+
 def text(term: Column) -> Column:
     """A term as N-Triples text."""
     quoted = term["lex"]
