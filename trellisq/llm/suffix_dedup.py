@@ -85,12 +85,15 @@ def pieces(raw: bytes) -> Iterator[tuple[int, int, Hashes]]:
         yield at, at + PIECE, Hashes(raw[at : at + PIECE + LENGTH - 1])
 
 
-def anchor_rows(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+def anchor_rows(raw: bytes, ranks_only: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """(rank of the prefix as one number, both ranks, hull, anchor, first start, last start) for the anchors of a text."""
     core = LENGTH - WINDOW + 1
     for at, _, h in pieces(raw):
         p, lo, hi = h.anchors(LENGTH, WINDOW)
         k1, k2 = h.pair(p, core)
+        if ranks_only:
+            yield (_mix(k1 ^ (k2 * _M1)),)
+            continue
         hull = _mix(h.of(lo, hi - lo + LENGTH) ^ ((p - lo).astype(np.uint64) * _M1) ^ ((p - hi).astype(np.uint64) * _M2))
         yield _mix(k1 ^ (k2 * _M1)), k1, k2, hull, p + at, lo + at, hi + at
 
@@ -120,7 +123,7 @@ def _first_ranks(b: pa.RecordBatch) -> Iterator[tuple]:
     """(text's number, rank, how often it occurs in the text)."""
     found = []
     for raw, number in zip(_bytes(b), b.column("number").to_pylist(), strict=True):
-        ranks = [r[0] for r in anchor_rows(raw)]
+        ranks = [r[0] for r in anchor_rows(raw, ranks_only=True)]
         if ranks:
             rank, n = np.unique(np.concatenate(ranks), return_counts=True)
             found.append((np.full(len(rank), number), rank, n))
