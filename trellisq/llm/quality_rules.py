@@ -110,7 +110,7 @@ RULES = (
     Rule("repeated_windows", lambda f: 100 * f.n_repeat_words > 20 * f.n_words),
     Rule("word_length", lambda f: not 2 * f.n_words <= f.word_chars <= 25 * f.n_words),
     Rule("symbols", lambda f: 5 * f.n_symbols > f.n_words),
-    Rule("repeated_lines", lambda f: 10 * f.n_dup_lines > 3 * f.n_lines),
+    Rule("repeated_lines", lambda f: 2 * f.n_dup_lines > f.n_lines),
     Rule("upper_case", lambda f: 10 * f.n_upper_words > 7 * f.n_words),
     Rule("few_letters", lambda f: 10 * f.n_plain_words < 6 * f.n_words),
 )

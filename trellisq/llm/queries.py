@@ -89,6 +89,6 @@ a AS (SELECT f.*, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0):
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 5 * n_symbols > n_words
-        OR 10 * n_dup_lines > 3 * n_lines OR 10 * upper_words > 7 * n_words OR 10 * plain_words < 6 * n_words) AS kept
+        OR 2 * n_dup_lines > n_lines OR 10 * upper_words > 7 * n_words OR 10 * plain_words < 6 * n_words) AS kept
 FROM b""",
 }
