@@ -101,7 +101,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     """(doc_id, whole text, label) of at most ``most`` learnable labelled documents, the same ones on every run.
 
     The ids with the smallest hashes are taken first (a distributed top-k over ids alone), then only their texts are
-    fetched. ``most`` is the documented bound of what a classifier is fitted on; scoring covers every row.
+    fetched. ``most`` is the documented bound of what a classifier is fitted on; scoring covers every row. Ids may repeat
+    in docs; then there are at most twice as many texts.
     """
     ids = (
         labels.where(F.col(label).isin(0, 1) & learnable(F.col("doc_id")))
@@ -114,6 +115,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
         .join(F.broadcast(ids), "doc_id")
         .select("doc_id", "__text", "__label")
+        .limit(2 * most)
         .collect()
     )
     return sorted((r[0], r[1], int(r[2])) for r in rows)
