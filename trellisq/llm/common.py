@@ -9,6 +9,7 @@ Shared conventions, which each operator's docstring adds to:
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -45,8 +46,15 @@ def checkpoint_folder(spark: SparkSession) -> None:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and goes on from there, so a lost executor costs no recomputation."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    # Shuffle files of finished steps go when the driver's garbage collector finds that nothing refers to them. An
+    # iterative job has many such steps and little garbage, so it asks for a collection.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def n_parts(df: DataFrame) -> int:

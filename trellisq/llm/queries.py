@@ -1,8 +1,8 @@
 """The queries of the numbered operators, each over its whole table, and their SQL where SQL can express them.
 
-No SQL: op2 (tokenizer), op3, op5 and op8 (trained models), op6 (permutation fill), op7 (candidate search; exact Jaccard
-over all pairs is too slow in SQL on whole tables), op9 (samples' features), op10 (repeats at any byte). Their tests hold
-them against brute force, round trips or held-out accuracy.
+No SQL: op1 (the order within a source comes from Spark's hash), op2 (tokenizer), op3, op5 and op8 (trained models), op6
+(permutation fill), op9 (CRC and samples' features). Their tests hold them against brute force, round trips or held-out
+accuracy. The SQL of op7 and op10 compares all shingles and all strings, plainly; it's for tables of a few thousand rows.
 """
 
 from __future__ import annotations
@@ -91,4 +91,29 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, n
     NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 5 * n_symbols > n_words
         OR 2 * n_dup_lines > n_lines OR 10 * upper_words > 7 * n_words OR 10 * plain_words < 6 * n_words) AS kept
 FROM b""",
+    "op7_near_duplicates": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT r, g FROM (SELECT r, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT shared.a, shared.b FROM shared JOIN n AS x ON x.r = shared.a JOIN n AS y ON y.r = shared.b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT r, r AS q FROM d UNION SELECT t.r, e.b FROM t JOIN e ON t.q = e.a),
+m AS (SELECT t.r, min(d.doc_id) AS component_id FROM t JOIN d ON d.r = t.q GROUP BY t.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id IS NOT DISTINCT FROM m.component_id AS kept
+FROM d JOIN m USING (r) LEFT JOIN n USING (r)""",
+    "op10_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800),
+k AS (SELECT w.r, w.i, md5(substr(d.h, 2 * w.i + 1, 800)) AS k FROM w JOIN d USING (r)),
+x AS (SELECT r, i FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400 OR lag(i) OVER (PARTITION BY r ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM x),
+u AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+s AS (SELECT r, run, min(i) AS lo, max(i) + 400 AS hi FROM u GROUP BY r, run),
+p AS (SELECT r, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY lo) AS from_byte FROM s),
+c AS (SELECT p.r, sum(p.hi - p.lo) AS n_removed, count(*) AS n_spans, max(p.hi) AS tail, string_agg(substr(d.h, 2 * from_byte + 1, 2 * (lo - from_byte)), '' ORDER BY lo) AS head FROM p JOIN d USING (r) GROUP BY p.r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(CASE WHEN c.r IS NULL THEN unhex(h) ELSE unhex(head || substr(h, 2 * tail + 1)) END) AS kept_sha256
+FROM d LEFT JOIN c USING (r)""",
 }
