@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.logic import skolem
@@ -60,6 +60,17 @@ def graph_includes(df: DataFrame, graph: str, **bound: str) -> DataFrame:
     return out
 
 
+def asserted(df: DataFrame, graph: str) -> DataFrame:
+    """A dynamic head: the triples of a bound quoted graph as facts."""
+    return df.select(F.inline(graph)).distinct()
+
+
+def trace(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """df, and an observation that holds the number of its rows once an action has run over it; nothing else changes."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def conclusion(df: DataFrame, key: str, graph: str, out: str, implies: str = "implies") -> DataFrame:
     """Deductive closure of quoted graphs whose rules are triples (premise fact, implies, conclusion fact), each fact as 's p o'.
 

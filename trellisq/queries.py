@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .functions import BUILTINS, datatypes, lists, maths, solve, strings, times
-from .functions.logic import known_key, skolem, term, unify_key
+from .functions.logic import known_key, skolem, term, text_uri, unify_key
 from .operators.patterns import ALLEN, Var, allen, as_of, body, column_facts, head, match, range_join
-from .operators.rules import FuseError, conclusion, conjunction, existential, fuse, graph, graph_includes, patch, project, promote, proved, same_as
+from .operators.rules import FuseError, asserted, conclusion, conjunction, existential, fuse, graph, graph_includes, patch, project, promote, proved, same_as, trace
 from .operators.scoped import aggregate_in, collect_all_in, for_all_in, includes, not_includes
 from .plans.fixpoint import closure, layers, reach, saturate
 from .sources import messages, triples
@@ -544,6 +544,36 @@ def rule_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return promote(f.unionByName(rules))
 
 
+@query("""SELECT o_orderkey::VARCHAR AS s, 'flag' AS p, 'late' AS o FROM orders WHERE o_orderstatus = 'P'""")
+def dynamic_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """{?o status "P"; says ?g} => ?g: what a bound graph holds becomes facts."""
+    g = F.array(F.struct(F.col("o_orderkey").cast("string").alias("s"), F.lit("flag").alias("p"), F.lit("late").alias("o")))
+    return asserted(t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(g.alias("g")), "g")
+
+
+@query("""SELECT count(*) AS n, (SELECT count(*) FROM nation) AS traced FROM region""")
+def traced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, seen = trace(t(spark, sf_dir, "nation"), "nations")
+    df.write.format("noop").mode("overwrite").save()
+    return t(spark, sf_dir, "region").agg(F.count(F.lit(1)).alias("n")).withColumn("traced", F.lit(seen.get["rows"]).cast("long"))
+
+
+@query("""SELECT event_id, ((event_id % 5) * 86400 + (event_id % 7) * 3600 + 30)::DOUBLE AS seconds, ((event_id % 5) * 86400 + (event_id % 7) * 3600 + 30) > 200000 AS long FROM events""")
+def time_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations compare by their seconds."""
+    e = t(spark, sf_dir, "events").selectExpr("event_id", "concat('P', event_id % 5, 'DT', event_id % 7, 'H30S') AS d")
+    e = solve(e.withColumn("x", maths.duration_seconds("d")), "seconds", "math:sum", "x")
+    return e.select("event_id", "seconds", BUILTINS["math:greaterThan"]("seconds", 200000).alias("long"))
+
+
+@query("""SELECT c_custkey, 'Customer ' || c_custkey AS lex, 'en' AS lang, CASE WHEN c_custkey % 2 = 0 THEN 'http://e/' || c_custkey END AS iri FROM customer""")
+def term_construction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals from text and tag, IRIs from text; text with a space is no IRI."""
+    c = t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Customer "), "c_custkey").alias("x"))
+    c = c.withColumn("l", BUILTINS["log:langlit"]("x", F.lit("en"))).withColumn("i", text_uri(F.concat(F.when(F.col("c_custkey") % 2 == 0, "http://e/").otherwise("not one "), "c_custkey")))
+    return c.select("c_custkey", BUILTINS["dt:lexicalForm"]("l").alias("lex"), BUILTINS["dt:language"]("l").alias("lang"), BUILTINS["log:uri"]("i").alias("iri"))
+
+
 # Sources and sinks
 
 
