@@ -13,7 +13,9 @@ from tests.llm.conftest import PROSE, frame
 from trellisq.llm import components, minhash_dedup, suffix_dedup
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("local", [components.LOCAL, 7])
+def test_components_of_random_graphs(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL", local)
     r = random.Random(8)
     for n, m in ((30, 12), (30, 60), (60, 59)):
         edges = [(i, i + 1) for i in range(m)] if m == 59 else [(r.randrange(n), r.randrange(n)) for _ in range(m)]

@@ -1,16 +1,24 @@
-"""Connected components of a graph that no machine holds: large-star and small-star rounds until nothing changes.
+"""Connected components of a graph that no machine holds.
 
-Each round replaces links by links to smaller nodes; a component ends as a star around its smallest node. A node with
-very many links is met only in an aggregation with partial sums and in a join that AQE can split.
+A task turns the links of its partition into stars around the smallest nodes, which loses no connection and keeps at most
+one link for each node; partitions are then merged as far as LOCAL links fit one task, and the last merge to one task
+ends it. Where more links are left, rounds of large-star and small-star come between: each replaces links by links to
+smaller nodes, with partial sums at nodes that have very many links and a join that AQE can split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
+#: Links that one task holds at most when partitions are merged.
+LOCAL = 400_000
+
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,6 +33,41 @@ def _small_star(e: DataFrame) -> DataFrame:
     return side.unionByName(least.withColumnRenamed("m", "b")).distinct()
 
 
+def stars(pairs: list[tuple]) -> list[tuple]:
+    """(node, smallest node that it reaches) for the nodes of the pairs but the smallest ones."""
+    root: dict = {}
+
+    def find(x):  # noqa: ANN001, ANN202
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while (up := root.get(x, x)) != top:
+            root[x] = top
+            x = up
+        return top
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(root)]
+
+
+def _merged(e: DataFrame, parts: int) -> DataFrame:
+    """Stars of e's links, after its partitions are merged into ``parts`` without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, schema = [], None
+        for b in batches:
+            schema = b.schema
+            found += zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)
+        if schema is not None:
+            out = stars(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=schema.field(i).type) for i in range(2)], schema=schema)
+
+    return e.coalesce(parts).mapInArrow(run, e.schema)
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node in a link between different nodes; component is the smallest node that it reaches.
 
@@ -32,8 +75,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     ones count once; no links give no rows.
     """
     e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a > b")
-    e, seen = cut_lineage(e.distinct()), None
+    e, seen = cut_lineage(e), None
     for _ in range(most_rounds):
+        n = e.count()
+        parts = max(1, -(-n // LOCAL))
+        e = cut_lineage(_merged(e, parts))
+        if parts == 1:
+            break
         e = cut_lineage(_small_star(_large_star(e)))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
