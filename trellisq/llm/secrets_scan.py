@@ -135,7 +135,7 @@ class Network:
             self.scale = float(np.clip(self.scale - 0.05 * (g * z).mean(), 0.05, 10))
             self.shift -= float(0.5 * g.mean())
         s = np.sort(self.scores(codes, bits)[y == 1])
-        self.threshold = float(max(0.5, s[int((1 - recall) * len(s))] - 1e-6)) if len(s) else 0.5
+        self.threshold = float(s[int((1 - recall) * len(s))] - 1e-6) if len(s) else 0.5
 
     def scores(self, codes: np.ndarray, bits: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * self.logits(codes, bits) + self.shift)))
