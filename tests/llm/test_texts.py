@@ -77,6 +77,12 @@ def test_encode_and_decode_rows(spark, odd):
     assert all(digests[k][0] == hashlib.sha256(np.array(v[0], "<i4").tobytes()).hexdigest() for k, v in ids.items())
 
 
+def test_parity_is_verified_for_every_row(spark, odd):
+    docs = odd.unionByName(frame(spark, [(100 + i, f"{PROSE} {i}") for i in range(200)]))
+    for got in (sentencepiece_codec.encode(docs), sentencepiece_codec.encode_digest(docs, keep=["doc_id"])):
+        assert [r["parity"] for r in got.collect()] == [True] * docs.count()
+
+
 # Sharding
 
 

@@ -203,18 +203,18 @@ def parity(codec: Codec, path: str, texts: list[str]) -> list[str]:
 PROBES = ("", " ", "  a  b ", "Line one\nline two\r\n\ttab", "naïve été straße", "\U0001f600 க்ஷ ▁x", "<s> </s> <unk> <0x41>", "$$$ 123,456.78 foo_bar", "\x00\x01  　 ﻿", "a" * 300)
 
 
-def encode(docs: DataFrame, path: str = MODEL, keep: list[str] | None = None, every: int = 64) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, keep: list[str] | None = None, every: int = 1) -> DataFrame:
     """docs with ids (array of int), n_tokens, n_fallback (byte pieces), round_trip and parity.
 
     round_trip: decoding the ids gives the text back (for a model whose normaliser changes nothing, always true).
     parity: the sentencepiece library gives the same ids; it's checked for PROBES at each task's start, where a
-    difference is an error, and for the rows whose text's CRC is divisible by ``every``; null for the other rows.
+    difference is an error, and for every row. A larger ``every`` leaves it null but where the text's CRC is divisible by it.
     Null texts are encoded as empty ones, which have no ids.
     """
     return _encoded(docs, path, keep, every, digest=False)
 
 
-def encode_digest(docs: DataFrame, path: str = MODEL, keep: list[str] | None = None, every: int = 64) -> DataFrame:
+def encode_digest(docs: DataFrame, path: str = MODEL, keep: list[str] | None = None, every: int = 1) -> DataFrame:
     """As encode(), with ids_sha256 (of the ids as little-endian 32-bit numbers) in place of the ids."""
     return _encoded(docs, path, keep, every, digest=True)
 
