@@ -4,7 +4,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import frame
-from trellisq.llm import mixing
+from trellisq.llm import mixing, queries
 
 
 def water(sizes, weights, share=Fraction(3, 2), most=2):
@@ -71,6 +71,17 @@ def test_schedule_is_sorted_and_cuts_by_words(spark):
     assert sum(len(r["text"].split()) for r in rows) == taken
 
 
+def test_query_is_sorted_and_has_all_positions(spark, tmp_path):
+    docs = frame(spark, [(i, "w " * (i % 9 + 1), "abc"[i % 3] if i % 10 else "c") for i in range(300)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op1_mixing(spark, str(tmp_path)).collect()
+    at = [(r["position"] is None, r["position"] or 0, r["doc_id"]) for r in got]
+    assert len(got) == 300 and at == sorted(at)
+    want = {r["doc_id"]: [t["position"] for t in r["takes"]] for r in mixing.mix(docs).collect()}
+    assert {r["doc_id"]: r["positions"] for r in got} == want and max(map(len, want.values())) == 2
+    assert all(r["position"] == (r["positions"] or [None])[0] for r in got)
+
+
 def test_no_python_in_the_plan(spark):
     plan = mixing.schedule(mixing.mix(frame(spark, [(1, "a", "x")])), ["doc_id"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
