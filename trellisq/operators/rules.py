@@ -74,6 +74,8 @@ def trace(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 def conclusion(df: DataFrame, key: str, graph: str, out: str, implies: str = "implies") -> DataFrame:
     """Deductive closure of quoted graphs whose rules are triples (premise fact, implies, conclusion fact), each fact as 's p o'.
 
+    Facts are ground and their terms hold no blank; rules with variables or longer bodies and backward rules aren't read.
+
     All graphs are saturated together, one relation keyed by the row.
     """
     triples = df.select(key, F.inline(graph))
