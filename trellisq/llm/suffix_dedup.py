@@ -1,11 +1,11 @@
-"""Exact repeats of LENGTH bytes by distributed prefix doubling.
+"""Exact repeats of LENGTH bytes by content-defined anchors and grouping of hashes, in place of prefix doubling.
 
 A suffix array of every byte position isn't needed to know which strings of LENGTH bytes repeat: of the starts that
 share an anchor (the position of the least hash in the WINDOW grams from the start on, which depends on those bytes
 alone) only the anchor is ranked. Two equal strings have their anchors at the same distance from their starts.
 
-Spark sorts positions by pairs of ranks, those of a prefix's first half and of the half at the offset behind it, and
-reranks with longer prefixes; a position leaves as soon as its prefix is unique, and the last length is the threshold:
+Nothing is doubled: each task computes pairs of rolling hashes of prefixes of three fixed lengths from the text, no pass
+feeds its ranks into the next, and Spark groups equal pairs; a position leaves as soon as its prefix is unique:
 
 * anchors, by the LENGTH - WINDOW + 1 bytes from the anchor on, which all strings of its starts hold;
 * what stays, in blocks of BLOCK starts, by the LENGTH - BLOCK + 1 bytes that all strings of a block hold;
@@ -13,7 +13,7 @@ reranks with longer prefixes; a position leaves as soon as its prefix is unique,
 
 At each step, starts whose longest common hull (all bytes that any of their strings holds) occurs again as a whole are
 known to repeat, and only one row of each such hull goes on, as a partner for others. So the work in a later step is
-near the ends of repeats alone. Ranks are 64-bit hashes; the pair makes 128 bits.
+near the ends of repeats alone. Each hash has 64 bits, a pair 128.
 """
 
 from __future__ import annotations
