@@ -138,17 +138,78 @@ def test_pieces_of_a_text_give_what_the_whole_gives(monkeypatch):
     raw = bytes(r.choice(b"abc \xc3") for _ in range(5000)) + b"ab" * 600
 
     def starts():
-        return {s + k: (int(rank), p - s - k) for rank, _, _, _, p, s, e in (x for rows in suffix_dedup.anchor_rows(raw) for x in zip(*rows, strict=True)) for k in range(e - s + 1)}
+        rows = [x for rows in suffix_dedup.anchor_rows(raw) for x in zip(*rows, strict=True)]
+        return {s + k: (int(core), p - s - k) for _, core, _, p, s, e in rows for k in range(e - s + 1)}
 
-    whole = starts()
+    def chunks():
+        return {(int(name), int(n)) for names, runs in suffix_dedup.chunks(raw) for name, n in zip(names, runs, strict=True) if n}
+
+    whole, runs, words = starts(), chunks(), suffix_dedup.word_hashes(raw).tolist()
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     assert starts() == whole and len(whole) == len(raw) - 399
-    todo = pa.array([[{"at": p, "lo": s, "hi": e} for rows in suffix_dedup.anchor_rows(raw) for *_, p, s, e in zip(*rows, strict=True)]])
+    assert chunks() == runs and suffix_dedup.word_hashes(raw).tolist() == words
+    places = [int(i) for rows in suffix_dedup.anchor_rows(raw) for i in rows[0]]
+    kept = [k for k, n in enumerate(n for j, (_, runs) in enumerate(suffix_dedup.chunks(raw)) for n in ([-1] * bool(j) + runs.tolist())) if n > 0]
+    assert places == kept
+    todo = pa.array([[{"at": p, "lo": s, "hi": e, "rank": 1} for rows in suffix_dedup.anchor_rows(raw) for *_, p, s, e in zip(*rows, strict=True)]])
     b = pa.record_batch([pa.array([raw.decode("latin-1").encode("ascii", "replace").decode()]), pa.array([b"c"]), pa.array([1]), todo], names=["text", "content", "m", "todo"])
     found = next(iter(suffix_dedup._finer(1)(b)))
     assert sorted(found[3].tolist()) == list(range(len(raw) - 399))
 
 
+def test_words_hash_by_their_bytes(monkeypatch):
+    r = random.Random(2)
+    texts = [b"", b" \n ", b"one", b" a b  a\tb\x0bab ", "é à é".encode(), b"x" * 5000 + b" y " + b"x" * 5000, bytes(r.choice(b"ab \n") for _ in range(3000))]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    of = {}
+    for t in texts:
+        got = suffix_dedup.word_hashes(t).tolist()
+        assert len(got) == len(t.split())
+        for w, h in zip(t.split(), got, strict=True):
+            assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+
+
+def test_doubling_finds_the_runs_that_occur_again(spark):
+    """Runs of every length over few names, against a count of all runs."""
+    r = random.Random(4)
+    texts = [[r.randrange(3) for _ in range(r.randrange(1, 40))] for _ in range(12)]
+    texts += [texts[0][:9] + texts[3], [1] * 30]
+    rows = []
+    for k, t in enumerate(texts):
+        rows += [(str(k).encode(), i, n if i + (n := (1, 5, 11)[name]) <= len(t) else 0, name) for i, name in enumerate(t)]
+    runs = collections.Counter(tuple(t[i : i + n]) for t in texts for i in range(len(t)) for n in range(1, len(t) - i + 1))
+    want = {(c, i, tuple(texts[int(c)][i : i + n])) for c, i, n, _ in rows if n}
+    got = suffix_dedup.doubled(spark.createDataFrame(rows, "content binary, i int, n int, name long")).collect()
+    of = {}
+    for x in got:
+        run = tuple(texts[int(x["content"])][x["i"] : x["i"] + x["n"]])
+        assert of.setdefault((x["n"], x["k1"], x["k2"]), run) == run
+        want.discard((bytes(x["content"]), x["i"], run))
+    assert len(of) == len(set(of.values())) and all(runs[run] == 1 for *_, run in want)
+
+
+def passages(rows):
+    words = [[w for w in (t or "").encode().split()] for _, t in rows]
+    sets = [{tuple(w[i : i + 51]) for i in range(len(w) - 50)} for w in words]
+    n = collections.Counter(p for s in sets for p in s)
+    return sorted((repr(d), any(n[p] > 1 for p in s)) for (d, _), s in zip(rows, sets, strict=True))
+
+
+def test_repeated_passages_by_brute_force(spark):
+    r = random.Random(12)
+    noise = lambda n: [r.choice("abcdefghij") * r.randint(1, 3) for _ in range(n)]
+    shared, texts = noise(200), []
+    for _ in range(40):  # passages near 51 words on both sides
+        i, n = r.randrange(140), r.choice([30, 45, 49, 50, 51, 52, 53, 60])
+        texts.append(" ".join(noise(r.randrange(40)) + shared[i : i + n] + noise(r.randrange(60))))
+    lone = noise(60)
+    texts += [" ".join(lone[:50]), " ".join(lone), "\n".join(lone[9:]), " ".join(lone[10:]), "w " * 80, "w " * 51, "w " * 50, None, "", " ".join(t := noise(55)), " ".join(t), " ".join(x := noise(50)), " ".join(x), " ".join(noise(300))]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)]
+    got = sorted((repr(x["doc_id"]), x["repeats_passage"]) for x in suffix_dedup.dedup(frame(spark, rows)).collect())
+    assert got == passages(rows)
+
+
 def test_repeated_bytes_by_brute_force(spark):
     r = random.Random(7)
     noise = lambda n: "".join(r.choice("abcdefghij é") for _ in range(n))

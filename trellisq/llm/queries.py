@@ -104,7 +104,7 @@ t AS (SELECT r, r AS q FROM d UNION SELECT t.r, e.b FROM t JOIN e ON t.q = e.a),
 m AS (SELECT t.r, min(d.doc_id) AS component_id FROM t JOIN d ON d.r = t.q GROUP BY t.r)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id IS NOT DISTINCT FROM m.component_id AS kept
 FROM d JOIN m USING (r) LEFT JOIN n USING (r)""",
-    "op10_suffix_dedup": r"""
+    "op10_suffix_dedup": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT r, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800),
 k AS (SELECT w.r, w.i, md5(substr(d.h, 2 * w.i + 1, 800)) AS k FROM w JOIN d USING (r)),
@@ -113,8 +113,11 @@ g AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400 O
 u AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
 s AS (SELECT r, run, min(i) AS lo, max(i) + 400 AS hi FROM u GROUP BY r, run),
 p AS (SELECT r, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY lo) AS from_byte FROM s),
-c AS (SELECT p.r, sum(p.hi - p.lo) AS n_removed, count(*) AS n_spans, max(p.hi) AS tail, string_agg(substr(d.h, 2 * from_byte + 1, 2 * (lo - from_byte)), '' ORDER BY lo) AS head FROM p JOIN d USING (r) GROUP BY p.r)
+c AS (SELECT p.r, sum(p.hi - p.lo) AS n_removed, count(*) AS n_spans, max(p.hi) AS tail, string_agg(substr(d.h, 2 * from_byte + 1, 2 * (lo - from_byte)), '' ORDER BY lo) AS head FROM p JOIN d USING (r) GROUP BY p.r),
+v AS (SELECT row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+q AS (SELECT DISTINCT r, g FROM (SELECT r, unnest(list_transform(range(1, len(ws) - 49), lambda i: md5(array_to_string(ws[i:i + 50], ' ')))) AS g FROM v WHERE len(ws) >= 51)),
+y AS (SELECT DISTINCT r FROM q WHERE g IN (SELECT g FROM q GROUP BY g HAVING count(*) > 1))
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-    sha256(CASE WHEN c.r IS NULL THEN unhex(h) ELSE unhex(head || substr(h, 2 * tail + 1)) END) AS kept_sha256
-FROM d LEFT JOIN c USING (r)""",
+    sha256(CASE WHEN c.r IS NULL THEN unhex(h) ELSE unhex(head || substr(h, 2 * tail + 1)) END) AS kept_sha256, y.r IS NOT NULL AS repeats_passage
+FROM d LEFT JOIN c USING (r) LEFT JOIN y USING (r)""",
 }

@@ -1,19 +1,23 @@
-"""Exact repeats of LENGTH bytes by content-defined anchors and grouping of hashes, in place of prefix doubling.
+"""Exact repeats of LENGTH bytes by prefix doubling over content-defined anchors.
 
-A suffix array of every byte position isn't needed to know which strings of LENGTH bytes repeat: of the starts that
+A suffix array of every byte position isn't needed to know which strings of LENGTH bytes repeat. Of the starts that
 share an anchor (the position of the least hash in the WINDOW grams from the start on, which depends on those bytes
-alone) only the anchor is ranked. Two equal strings have their anchors at the same distance from their starts.
+alone) only the anchor is ranked; two equal strings have their anchors at the same distance from their starts. The
+anchors of a text cut it into chunks, and all strings of an anchor's starts hold the chunks of its first CORE bytes.
 
-Nothing is doubled: each task computes pairs of rolling hashes of prefixes of three fixed lengths from the text, no pass
-feeds its ranks into the next, and Spark groups equal pairs; a position leaves as soon as its prefix is unique:
-
-* anchors, by the LENGTH - WINDOW + 1 bytes from the anchor on, which all strings of its starts hold;
-* what stays, in blocks of BLOCK starts, by the LENGTH - BLOCK + 1 bytes that all strings of a block hold;
-* what stays, start by start, by all LENGTH bytes.
+1. Prefix doubling: a chunk's first rank comes from its bytes. Round after round Spark sorts the pairs of the ranks of k
+   chunks from a position on and of the k chunks behind those, and numbers the pairs that occur again: these are the
+   ranks of 2k chunks. A position leaves as soon as its rank is unique; an anchor is done when two overlapping ranks
+   cover its chunks.
+2. What stays grows by bytes at both ends: blocks of BLOCK starts, by the rank before and the LENGTH - BLOCK + 1 bytes
+   that all strings of a block hold, which gives new ranks; then start by start, by those and all LENGTH bytes.
 
 At each step, starts whose longest common hull (all bytes that any of their strings holds) occurs again as a whole are
 known to repeat, and only one row of each such hull goes on, as a partner for others. So the work in a later step is
-near the ends of repeats alone. Each hash has 64 bits, a pair 128.
+near the ends of repeats alone. Chunks and the bytes beside ranks are compared by 64-bit hashes, the first keys by a
+second hash of all CORE bytes too.
+
+``repeats_passage`` finds shorter passages, by words: the same anchors over words, and hashes of PASSAGE words.
 """
 
 from __future__ import annotations
@@ -31,10 +35,17 @@ from pyspark.sql.types import StructType
 from .common import cut_lineage, tuned
 
 LENGTH, WINDOW, BLOCK, GRAM = 400, 145, 16, 8
+#: Bytes from an anchor on that are in the strings of all its starts, and how far behind it a window may start there.
+CORE = LENGTH - WINDOW + 1
+REACH = CORE - GRAM + 1 - WINDOW
+#: The same for passages, in words.
+PASSAGE, WORD_WINDOW, WORD_GRAM = 51, 20, 4
 #: Starts of a text that are worked on at once; very long texts are read piece by piece.
 PIECE = 1 << 20
 _M1, _M2, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE = np.random.default_rng(21).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -43,30 +54,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * _M2
 
 
+def _need_powers(n: int) -> None:
+    if len(_powers[0]) <= n:
+        for i, base in enumerate((_P, _INVERSE)):
+            _powers[i] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + n // 4, base)]))
+
+
 class Hashes:
-    """Hashes of substrings of a piece of bytes, each in constant time."""
+    """Hashes of substrings of a piece, each in constant time. grams: a hash for each ``gram`` units, bytes or words."""
+
+    def __init__(self, grams: np.ndarray, gram: int):
+        self.grams, self.gram = grams, gram
+        _need_powers(len(grams))
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * _powers[0][: len(grams)])])
 
-    def __init__(self, raw: bytes):
+    @classmethod
+    def of_bytes(cls, raw: bytes) -> Hashes:
         x = np.frombuffer(raw, np.uint8).astype(np.uint64)
         for k in (1, 2, 4):
             x = x[:-k] | (x[k:] << np.uint64(8 * k))
-        self.grams = _mix(x)
-        if len(_powers[0]) <= len(x):
-            for i, base in enumerate((_P, _INVERSE)):
-                _powers[i] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * len(x), base)]))
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.grams * _powers[0][: len(x)])])
+        return cls(_mix(x), GRAM)
 
-    def of(self, start: np.ndarray, length) -> np.ndarray:  # noqa: ANN001
-        """Of length >= GRAM bytes from each start on."""
-        return _mix((self.prefix[start + length - GRAM + 1] - self.prefix[start]) * _powers[1][start])
+    @classmethod
+    def of_words(cls, words: np.ndarray) -> Hashes:
+        x = words
+        for k in (1, 2):
+            x = _mix(x[:-k] * _P + x[k:])
+        return cls(x, WORD_GRAM)
 
-    def pair(self, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ranks of the prefix's first half and of the rest."""
-        half = length // 2
-        return self.of(start, half), self.of(start + half, length - half)
+    def of(self, start: np.ndarray, length) -> np.ndarray:  # noqa: ANN001
+        """Of length >= gram units from each start on."""
+        return _mix((self.prefix[start + length - self.gram + 1] - self.prefix[start]) * _powers[1][start])
 
-    def anchors(self, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchors, and the first and last start of each; all starts with ``length`` bytes behind them have one."""
+    def minima(self, window: int) -> np.ndarray:
+        """For each window of grams the place of the least, of equal ones the first."""
         low = np.uint64((1 << 24) - 1)
         m = (self.grams & ~low) | np.arange(len(self.grams), dtype=np.uint64)
         w = 1
@@ -74,39 +95,93 @@ class Hashes:
             m, w = np.minimum(m[:-w], m[w:]), 2 * w
         if w < window:
             m = np.minimum(m[: w - window], m[window - w :])
-        own = (m[: len(self.grams) + GRAM - length] & low).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        return own[first], first, np.concatenate([first[1:] - 1, [len(own) - 1]])
+        return (m & low).astype(np.int64)
+
+    def hull(self, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+        """Of all units that strings of ``length`` from the starts lo to hi on hold, with their place around p."""
+        return _mix(self.of(lo, hi - lo + length) ^ ((p - lo).astype(np.uint64) * _M1) ^ ((p - hi).astype(np.uint64) * _M2))
+
+
+def owned(minima: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the first so many starts, and the first and last start of each."""
+    own = minima[:starts]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[first], first, np.concatenate([first[1:] - 1, [len(own) - 1]])
 
 
 def pieces(raw: bytes) -> Iterator[tuple[int, int, Hashes]]:
     """(first start, end of the starts, hashes) of pieces that together hold every string of LENGTH bytes once."""
     for at in range(0, len(raw) - LENGTH + 1, PIECE):
-        yield at, at + PIECE, Hashes(raw[at : at + PIECE + LENGTH - 1])
+        yield at, at + PIECE, Hashes.of_bytes(raw[at : at + PIECE + LENGTH - 1])
+
 
+def chunks(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash of a chunk's bytes, chunks that its anchor's strings all hold) of each piece; 0 chunks where no start has the anchor.
 
-def anchor_rows(raw: bytes, ranks_only: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
-    """(rank of the prefix as one number, both ranks, hull, anchor, first start, last start) for the anchors of a text."""
-    core = LENGTH - WINDOW + 1
+    A chunk reaches from an anchor to the gram of the next one, so both are known from it.
+    """
+    for _, _, h in pieces(raw):
+        m = h.minima(WINDOW)
+        p, *_ = owned(m, len(h.grams) + GRAM - LENGTH)
+        every = np.unique(m)
+        n = np.zeros(len(every) - 1, np.int64)
+        n[: len(p)] = np.searchsorted(every, m[p + REACH]) - np.arange(len(p))
+        size = np.diff(every)
+        yield _mix(h.of(every[:-1], size + GRAM) ^ (size.astype(np.uint64) * _M1)), n
+
+
+def anchor_rows(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place among the text's chunks, hash of the CORE bytes, hull, anchor, first start, last start) for the anchors of a text."""
+    before = 0
     for at, _, h in pieces(raw):
-        p, lo, hi = h.anchors(LENGTH, WINDOW)
-        k1, k2 = h.pair(p, core)
-        if ranks_only:
-            yield (_mix(k1 ^ (k2 * _M1)),)
-            continue
-        hull = _mix(h.of(lo, hi - lo + LENGTH) ^ ((p - lo).astype(np.uint64) * _M1) ^ ((p - hi).astype(np.uint64) * _M2))
-        yield _mix(k1 ^ (k2 * _M1)), k1, k2, hull, p + at, lo + at, hi + at
+        m = h.minima(WINDOW)
+        p, lo, hi = owned(m, len(h.grams) + GRAM - LENGTH)
+        yield np.arange(len(p)) + before, h.of(p, CORE), h.hull(p, lo, hi, LENGTH), p + at, lo + at, hi + at
+        before += len(np.unique(m))  # one more than the chunks: between pieces is a gap
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word of the text."""
+    b = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[b], [False]])
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    out = (ends - starts).astype(np.uint64) * _M1
+    for at in range(0, len(b), PIECE):
+        piece = _BYTE[b[at : at + PIECE]]
+        _need_powers(len(piece))
+        piece *= _powers[0][: len(piece)]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(piece)])
+        i, j = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + len(piece))
+        if i < j:
+            lo, hi = np.maximum(starts[i:j] - at, 0), np.minimum(ends[i:j] - at, len(piece))
+            part = (total[hi] - total[lo]) * _powers[1][lo]
+            part[:1] *= np.array([pow(int(_P), max(0, at - int(starts[i])), 1 << 64)], np.uint64)  # the piece may begin within a word
+            out[i:j] += part
+    return _mix(out)
+
+
+def passage_rows(words: np.ndarray) -> Iterator[tuple[Hashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, core, hull, anchor, first start, last start) of the anchors of each piece of a text's words."""
+    for at in range(0, len(words) - PASSAGE + 1, PIECE):
+        h = Hashes.of_words(words[at : at + PIECE + PASSAGE - 1])
+        p, lo, hi = owned(h.minima(WORD_WINDOW), len(h.grams) + WORD_GRAM - PASSAGE)
+        yield h, h.of(p, PASSAGE - WORD_WINDOW + 1), h.hull(p, lo, hi, PASSAGE), p, lo, hi
 
 
 def _mapped(df: DataFrame, schema: str, rows) -> DataFrame:  # noqa: ANN001
-    """rows(record batch) yields tuples of numpy arrays or lists, one for each column of the schema."""
+    """rows(record batch) yields tuples of numpy arrays, Arrow arrays or lists, one for each column of the schema."""
     tuned(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def column(c, kind: pa.DataType):  # noqa: ANN001, ANN202
+        if isinstance(c, pa.Array):
+            return c.cast(kind)
+        return pa.array(c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c, type=kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cols in rows(b):
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c, type=f.type) for c, f in zip(cols, arrow, strict=True)], names=arrow.names)
+                yield pa.RecordBatch.from_arrays([column(c, f.type) for c, f in zip(cols, arrow, strict=True)], names=arrow.names)
 
     return df.mapInArrow(run, schema)
 
@@ -119,15 +194,105 @@ def _gathered(parts: list[tuple], width: int) -> list:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(width)]
 
 
-def _first_ranks(b: pa.RecordBatch) -> Iterator[tuple]:
-    """(text's number, rank, how often it occurs in the text)."""
-    found = []
-    for raw, number in zip(_bytes(b), b.column("number").to_pylist(), strict=True):
-        ranks = [r[0] for r in anchor_rows(raw, ranks_only=True)]
-        if ranks:
-            rank, n = np.unique(np.concatenate(ranks), return_counts=True)
-            found.append((np.full(len(rank), number), rank, n))
-    yield tuple(_gathered(found, 3))
+def _lists(rows: list[list[np.ndarray]], kind) -> pa.Array:  # noqa: ANN001
+    """One list for each row, of its arrays one after the other."""
+    ends = np.cumsum([0, *(sum(map(len, r)) for r in rows)])
+    flat = np.concatenate([np.zeros(0, kind), *(x.view(np.int64) if x.dtype == np.uint64 else x.astype(kind) for r in rows for x in r)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(kind)))
+
+
+def _parsed(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(content, id, hashes and runs of the chunks, cores and hulls of the passages) of texts that have some."""
+    names, runs, cores, hulls, some = [], [], [], [], []
+    for raw in _bytes(b):
+        found = list(chunks(raw))
+        gap = [(np.zeros(1, np.uint64), np.full(1, -1))] * (len(found) - 1)
+        both = [x for k, f in enumerate(found) for x in ([f] if not k else [gap[k - 1], f])]
+        words = list(passage_rows(word_hashes(raw)))
+        some.append(bool(found or words))
+        for col, v in ((names, [x for x, _ in both]), (runs, [x for _, x in both]), (cores, [x[1] for x in words]), (hulls, [x[2] for x in words])):
+            col.append(v)
+    keep = pa.array(some, pa.bool_())
+    yield tuple(c.filter(keep) for c in (b.column("content"), b.column("doc_id"), _lists(names, np.int64), _lists(runs, np.int16), _lists(cores, np.int64), _lists(hulls, np.int64)))
+
+
+def _states(b: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """(content, place, chunks wanted, rank), by place, of each text's live positions."""
+    for content, live in zip(b.column("content").to_pylist(), b.column("live"), strict=True):
+        i, n, rank = (live.values.field(k).to_numpy(zero_copy_only=False) for k in ("i", "n", "rank"))
+        order = np.argsort(i)
+        yield content, i[order].astype(np.int64), n[order].astype(np.int64), rank[order]
+
+
+def _paired(i: np.ndarray, rank: np.ndarray, rows: np.ndarray, offset) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Those of the rows at whose place + offset there is a live position too, and its rank."""
+    at = np.searchsorted(i, i[rows] + offset)
+    ok = (at < len(i)) & (i[np.minimum(at, len(i) - 1)] == i[rows] + offset)
+    return rows[ok], rank[at[ok]]
+
+
+def _finished(k: int):  # noqa: ANN202
+    """(content, place, chunks, two ranks) for the positions that two overlapping ranks of k chunks cover."""
+
+    def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+        contents, counts, found = [], [], []
+        for content, i, n, rank in _states(b):
+            mine = np.flatnonzero((n >= k) & (n < 2 * k))
+            mine, other = _paired(i, rank, mine, n[mine] - k)
+            contents.append(content)
+            counts.append(len(mine))
+            found.append((i[mine], n[mine], rank[mine], other))
+        yield (_repeat(contents, counts), *_gathered(found, 4))
+
+    return rows
+
+
+def _pairs(k: int):  # noqa: ANN202
+    """(content, place, chunks, ranks of k chunks and of the k behind) for the positions that longer runs need."""
+
+    def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+        contents, counts, found = [], [], []
+        for content, i, n, rank in _states(b):
+            long = n >= 2 * k
+            edge = np.zeros(len(i) + 1, np.int64)
+            np.add.at(edge, np.flatnonzero(long), 1)
+            np.add.at(edge, np.searchsorted(i, i[long] + n[long] - 2 * k, "right"), -1)
+            mine = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            mine, behind = _paired(i, rank, mine, k)
+            contents.append(content)
+            counts.append(len(mine))
+            found.append((i[mine], n[mine], rank[mine], behind))
+        yield (_repeat(contents, counts), *_gathered(found, 4))
+
+    return rows
+
+
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys occur again, with the keys' rank: sorted over the cluster and numbered in that order."""
+    again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(*keys).orderBy(*keys)
+    numbered = cut_lineage(again.withColumn("rank", F.monotonically_increasing_id()))
+    return rows.join(numbered, keys).select("content", "i", "n", "rank")
+
+
+def doubled(rows: DataFrame) -> DataFrame:
+    """(content, i, n, k1, k2) for each position i whose n chunks may occur again, all that do among them; equal chunks have equal n, k1, k2.
+
+    rows: content, i, n (0 if only other positions need this one) and name, one row for each chunk of each distinct text;
+    where equal chunks begin, n is equal.
+    """
+    live, k, done = _ranked(rows, ["name"]), 1, []
+    while True:
+        state = cut_lineage(live.groupBy("content").agg(F.collect_list(F.struct("i", "n", "rank")).alias("live")))
+        done.append(_mapped(state, "content binary, i int, n int, k1 long, k2 long", _finished(k)))
+        longer = state.where(F.exists("live", lambda x: x["n"] >= 2 * k))
+        if longer.isEmpty():
+            break
+        live = _ranked(_mapped(longer, "content binary, i int, n int, r1 long, r2 long", _pairs(k)), ["r1", "r2"])
+        k *= 2
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 _ROW = "content binary, m int, at int, lo int, hi int, k1 long, k2 long, hull long"
@@ -138,39 +303,44 @@ def _repeat(content: list, counts: list[int]) -> pa.Array:
 
 
 def _anchors(b: pa.RecordBatch) -> Iterator[tuple]:
-    """A row for each anchor whose rank is among those that the text's row brings."""
+    """A row for each anchor that has ranks in its text's row; its key is of both ranks, the chunks' number and the CORE bytes."""
     found, counts = [], []
     for raw, m, ranks in zip(_bytes(b), b.column("m").to_pylist(), b.column("ranks"), strict=True):
-        n, wanted = 0, ranks.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        for rank, k1, k2, hull, p, lo, hi in anchor_rows(raw):
-            ok = np.isin(rank, wanted)
-            found.append((np.full(ok.sum(), m, np.int32), *(x[ok].astype(np.int32) for x in (p, lo, hi)), k1[ok], k2[ok], hull[ok]))
+        n = 0
+        i, many, k1, k2 = (np.array(ranks.values.field(k).to_numpy(zero_copy_only=False)) for k in ("i", "n", "k1", "k2"))
+        order = np.argsort(i)
+        i, many, k1, k2 = i[order], many[order], k1[order], k2[order].view(np.uint64)
+        for place, core, hull, p, lo, hi in anchor_rows(raw):
+            at = np.minimum(np.searchsorted(i, place), len(i) - 1)
+            ok = i[at] == place
+            at = at[ok]
+            key = _mix(core[ok] ^ _mix(k2[at] * _M1 + many[at].astype(np.uint64)))
+            found.append((np.full(ok.sum(), m, np.int32), *(x[ok].astype(np.int32) for x in (p, lo, hi)), k1[at], key.view(np.int64), hull[ok]))
             n += int(ok.sum())
         counts.append(n)
     yield (_repeat(b.column("content").to_pylist(), counts), *_gathered(found, 7))
 
 
 def _finer(width: int):  # noqa: ANN202
-    """Rows for the blocks of ``width`` starts in the ranges (anchor, first, last start) that a text's row brings."""
+    """Rows for the blocks of ``width`` starts in the ranges (anchor, first, last start, rank) that a text's row brings."""
     core = LENGTH - width + 1
 
     def rows(b: pa.RecordBatch) -> Iterator[tuple]:
         found, counts = [], []
         for raw, m, todo in zip(_bytes(b), b.column("m").to_pylist(), b.column("todo"), strict=True):
-            at, lo, hi = (np.array(todo.values.field(k).to_numpy(zero_copy_only=False), np.int64) for k in ("at", "lo", "hi"))
+            at, lo, hi, rank = (np.array(todo.values.field(k).to_numpy(zero_copy_only=False), np.int64) for k in ("at", "lo", "hi", "rank"))
             n = 0
             for offset, end, h in pieces(raw):
                 mine = (lo >= offset) & (lo < end)
-                p, a, z = at[mine] - offset, lo[mine] - offset, hi[mine] - offset
+                p, a, z, r = at[mine] - offset, lo[mine] - offset, hi[mine] - offset, rank[mine]
                 first, last = (p - z) // width, (p - a) // width  # blocks by their distance before the anchor
                 each = last - first + 1
                 of = np.repeat(np.arange(len(p)), each)
                 j = np.repeat(first, each) + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
                 top = p[of] - width * j  # the last start that a whole block has; its prefix is in all strings of the block
                 s, e = np.maximum(top - width + 1, a[of]), np.minimum(top, z[of])
-                k1, k2 = h.pair(top, core)
-                hull = _mix(h.of(s, e - s + LENGTH) ^ ((top - s).astype(np.uint64) * _M1) ^ ((top - e).astype(np.uint64) * _M2))
-                found.append((np.full(len(of), m, np.int32), *((x + offset).astype(np.int32) for x in (p[of], s, e)), k1, k2, hull))
+                key = _mix(h.of(top, core) ^ (j.astype(np.uint64) * _M1))
+                found.append((np.full(len(of), m, np.int32), *((x + offset).astype(np.int32) for x in (p[of], s, e)), r[of], key, h.hull(top, s, e, LENGTH)))
                 n += len(of)
             counts.append(n)
         yield (_repeat(b.column("content").to_pylist(), counts), *_gathered(found, 7))
@@ -179,14 +349,17 @@ def _finer(width: int):  # noqa: ANN202
 
 
 def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(spans, todo): strings known to repeat as (content, lo, end), and the rows that a longer prefix has to decide."""
+    """(spans, todo): strings known to repeat as (content, lo, end), and the ranked rows that a longer prefix has to decide."""
     hulls = rows.groupBy("k1", "k2", "hull").agg(F.sum("m").alias("n"), F.min(F.struct("content", "lo")).alias("one"))
-    prefixes = hulls.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("hulls"), F.sum("n").alias("all")).where("all > 1").drop("all")
-    told = cut_lineage(rows.join(hulls.join(prefixes, ["k1", "k2"]), ["k1", "k2", "hull"]).where("n > 1 OR hulls > 1").select(
-        "content", "at", "lo", "hi", (F.col("n") > 1).alias("known"), ((F.col("hulls") > 1) & ((F.col("n") == 1) | (F.struct("content", "lo") == F.col("one")))).alias("open")
-    ))
+    again = hulls.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("hulls"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    prefixes = cut_lineage(again.orderBy("k1", "k2").withColumn("rank", F.monotonically_increasing_id()))
+    # written, so that the rows are dealt by all three keys: of one hot prefix there are many hulls
+    groups = cut_lineage(hulls.join(prefixes, ["k1", "k2"]))
+    told = cut_lineage(rows.join(groups, ["k1", "k2", "hull"]).select(
+        "content", "at", "lo", "hi", "rank", (F.col("n") > 1).alias("known"), ((F.col("hulls") > 1) & ((F.col("n") == 1) | (F.struct("content", "lo") == F.col("one")))).alias("open")
+    ).where("known OR open"))
     spans = told.where("known").select("content", "lo", (F.col("hi") + LENGTH).alias("end"))
-    todo = told.where("open").groupBy("content").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("todo"))
+    todo = told.where("open").groupBy("content").agg(F.collect_list(F.struct("at", "lo", "hi", "rank")).alias("todo"))
     return spans, todo
 
 
@@ -205,33 +378,90 @@ def _cut(b: pa.RecordBatch) -> Iterator[tuple]:
     yield b.column("content"), removed, runs, digests
 
 
+def _passages(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(content, core, hash of PASSAGE words) for the starts whose core is among those that the text's row brings."""
+    found, counts = [], []
+    for raw, wanted in zip(_bytes(b), b.column("wanted"), strict=True):
+        n, some = 0, wanted.values.to_numpy(zero_copy_only=False)
+        for h, core, _, p, lo, hi in passage_rows(word_hashes(raw)):
+            ok = np.isin(core.view(np.int64), some)
+            each = (hi - lo + 1)[ok]
+            of = np.repeat(np.flatnonzero(ok), each)
+            s = np.repeat(lo[ok], each) + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+            found.append((core[of], _mix(h.of(s, PASSAGE) ^ ((p[of] - s).astype(np.uint64) * _M1))))
+            n += len(of)
+        counts.append(n)
+    yield (_repeat(b.column("content").to_pylist(), counts), *_gathered(found, 2))
+
+
+def _fetched(base: DataFrame, need: DataFrame) -> DataFrame:
+    """need (content, m, id and more) with the text of each content: of the one document that has this id, hashed, and text."""
+    need = need.withColumnsRenamed({"content": "__content", "id": "__id"})
+    joined = base.join(need, (F.col("__content") == F.col("content")) & (F.col("id") == F.col("__id"))).drop("__content", "__id")
+    return joined.dropDuplicates(["content", "id"]).drop("id")
+
+
+def _passage_texts(base: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(content) of the texts that hold PASSAGE words in a row that another document holds too.
+
+    Texts that several documents have are such ones. Of the others, those are whose hull around an anchor is in two
+    texts. What is left are texts that share a core but no hull: all passages around such cores are compared, with those
+    of one text for each hull.
+    """
+    rows = distinct.where("size(cores) > 0").select("content", "m", F.explode(F.arrays_zip("cores", "hulls")).alias("x")).select("content", "m", "x.cores", "x.hulls").toDF("content", "m", "core", "hull")
+    hulls = rows.groupBy("core", "hull").agg(F.min("content").alias("a"), F.max("content").alias("z"))
+    cores = hulls.groupBy("core").agg(F.min("a").alias("first"), F.max("z").alias("last")).where("first <> last").select("core")
+    shared = cut_lineage(hulls.join(cores, "core").select("core", "hull", "a", (F.col("a") != F.col("z")).alias("whole")))
+    told = rows.join(shared, ["core", "hull"]).groupBy("content").agg(F.max("whole").alias("whole"), F.max("m").alias("m"), F.collect_set("core").alias("wanted"))
+    told = cut_lineage(told)
+    found = distinct.where("size(cores) > 0 AND m > 1").select("content").unionByName(told.where("whole AND m = 1").select("content"))
+    open_ = cut_lineage(told.where("NOT whole AND m = 1").select("content", F.explode("wanted").alias("core")))
+    partners = shared.join(open_.select("core").distinct(), "core").select(F.col("a").alias("content"), "core")
+    todo = open_.unionByName(partners).groupBy("content").agg(F.collect_set("core").alias("wanted"))
+    texts = _fetched(base, distinct.select("content", "id").join(todo, "content")).select("content", "text", "wanted")
+    passages = cut_lineage(_mapped(texts, "content binary, core long, passage long", _passages))
+    again = passages.groupBy("core", "passage").agg(F.min("content").alias("a"), F.max("content").alias("z")).where("a <> z").select("core", "passage")
+    return found.unionByName(passages.join(again, ["core", "passage"]).select("content")).distinct()
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats_passage.
 
     Removed are the bytes of every string of LENGTH bytes that starts at another place too, in the same text or another
     one; texts are UTF-8, null counts as empty, and equal texts (repeated rows too) repeat each other. Texts below
-    LENGTH bytes keep all. Only texts that hold some repeated prefix are moved: after the first ranks, whole texts of
-    those alone are shuffled, one row for each distinct text.
+    LENGTH bytes keep all. repeats_passage: the document holds at least PASSAGE words in a row, however many bytes those
+    are, that another row's document holds too; nothing is removed for it. Only texts that hold some repeated prefix are
+    moved: after the rounds of ranks, whole texts of those alone are shuffled, one row for each distinct text. A text
+    that several rows have goes whole; it takes part in the ranks once, as a partner for others.
     """
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("text")).withColumn("content", F.unhex(F.md5(F.col("text").cast("binary")))).withColumn("number", F.xxhash64("content"))
-    light = cut_lineage(base.select("doc_id", "content", "number", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole")))
-    ranks = _mapped(base.select("text", "number"), "number long, rank long, n long", _first_ranks)
-    again = ranks.groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1").select("rank")
-    wanted = ranks.join(again, "rank").groupBy("number").agg(F.collect_set("rank").alias("ranks"))
-    one = light.groupBy("content", "number").agg(F.count(F.lit(1)).cast("int").alias("m"), F.min("doc_id").alias("__id"))
-    need = one.join(wanted, "number").drop("number")
-    texts = base.select("doc_id", "text", F.col("content").alias("__content"))
-    texts = cut_lineage(texts.join(need, (F.col("__content") == F.col("content")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("content", "m", "text", "ranks"))
-    spans, todo = _judged(_mapped(texts, _ROW, _anchors))
+    base = docs.select(F.col("doc_id"), text.alias("text")).withColumn("content", F.unhex(F.md5(F.col("text").cast("binary"))))
+    light = cut_lineage(base.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole")))
+    base = base.select(F.xxhash64("doc_id").alias("id"), "content", "text")
+    parsed = _mapped(base.select("content", F.col("id").alias("doc_id"), "text"), "content binary, id long, names array<long>, runs array<short>, cores array<long>, hulls array<long>", _parsed)
+    distinct = cut_lineage(parsed.groupBy("content").agg(F.count(F.lit(1)).cast("int").alias("m"), F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("names", "runs", "cores", "hulls"))))
+    passages = cut_lineage(_passage_texts(base, distinct).withColumn("repeats_passage", F.lit(True)))
+    chunk = distinct.select("content", F.posexplode(F.arrays_zip("names", "runs")).alias("i", "x")).where("x.runs >= 0")
+    done = doubled(chunk.select("content", "i", F.col("x.runs").cast("int").alias("n"), F.col("x.names").alias("name")))
+    wanted = done.groupBy("content").agg(F.collect_list(F.struct("i", "n", "k1", "k2")).alias("ranks"))
+    texts = cut_lineage(_fetched(base, distinct.select("content", "m", "id").join(wanted, "content")))
+    spans, todo = _judged(_mapped(texts.select("content", "m", "text", "ranks"), _ROW, _anchors))
     every = spans
     for width in (BLOCK, 1):
         finer = texts.select("content", "m", "text").join(todo, "content").select("content", "m", "text", "todo")
         spans, todo = _judged(_mapped(finer, _ROW, _finer(width)))
         every = every.unionByName(spans)
     by_text = every.groupBy("content").agg(F.collect_list(F.struct("lo", "end")).alias("spans"))
-    cut = texts.select("content", "text").dropDuplicates(["content"]).join(by_text, "content").select("content", "text", "spans")
+    cut = texts.where("m = 1").select("content", "text").join(by_text, "content").select("content", "text", "spans")
     told = _mapped(cut, "content binary, n_removed long, n_spans long, kept_sha256 string", _cut)
-    return light.join(told, "content", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")
-    )
+    copied = distinct.where("m > 1 AND size(names) > 0").select("content", F.lit(True).alias("copied"))
+    told = told.join(copied, "content", "full").join(passages, "content", "full")
+    none = F.lit(0).cast("long")
+    out = light.join(told, "content", "left")
+    return out.select(
+        "doc_id", "n_bytes",
+        F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
+        F.when(F.col("copied"), none + 1).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),
+        F.when(F.col("copied"), F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
+        F.coalesce("repeats_passage", F.lit(False)).alias("repeats_passage"),
+    )
