@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..plans.fixpoint import shared_folder
+
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, where driver and executors both see it; under /tmp where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the one that driver and executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
