@@ -90,4 +90,22 @@ def test_no_python_in_the_plan(spark):
 def test_odd_rows(spark, odd):
     assert mixing.mix(odd.withColumn("target", F.lit(1)).withColumn("takes", F.lit("x"))).count() == odd.count()
     assert mixing.mix(odd.limit(0)).count() == 0
+    assert mixing.taken_rows(odd.limit(0), mixing.mix(odd.limit(0), keep=[], key="k"), "k").count() == 0
     assert {r["taken"] for r in mixing.mix(frame(spark, [(1, "", "a"), (2, None, "b")])).collect()} == {0}
+
+
+def test_names_that_helpers_might_have(spark, odd):
+    """Columns of the input stay as they are, but for those that the operator returns, whatever their case."""
+    mine = ["rank", "n_docs", "weight", "Position", "epoch", "limit", "key", "h", "chunk", "level"]
+    docs = odd.select("*", *[F.lit(f"my {c}").alias(c) for c in [*mine, "SIZE", "Taken"]])
+    out = mixing.mix(docs)
+    assert all(r[c] == f"my {c}" for r in out.collect() for c in mine) and {"SIZE", "Taken"}.isdisjoint(out.columns)
+    rows = mixing.schedule(out, docs.columns[:15]).collect()
+    assert all(r["rank"] == "my rank" and isinstance(r["position"], float) and r["epoch"] in (1, 2) for r in rows)
+
+
+def test_texts_are_dealt_once_and_repeated_rows_stay(spark):
+    docs = frame(spark, [(1, "a b c", "x"), (1, "a b c", "x"), (1, "a b c", "y"), (2, "d e f g", "x"), (None, None, None), (3, "h", "y"), (4, "", "x")])
+    whole = mixing.schedule(mixing.mix(docs), docs.columns).collect()
+    dealt = mixing.schedule(mixing.taken_rows(docs, mixing.mix(docs, keep=[], key="k"), "k"), docs.columns).collect()
+    assert sorted(map(repr, whole)) == sorted(map(repr, dealt)) and len(whole) > 5

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut_lineage
 
 #: Weights of the sources in code-point order, repeated.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -91,57 +91,88 @@ def due(rate: Column, demand: Column, target: Column, knots=KNOTS) -> Column:
     return F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS, knots=KNOTS, rates=RATES, seed: int = 17) -> DataFrame:
-    """One row for each document: its columns and size, source_size, target, taken, and takes.
+OUT = ("size", "source_size", "target", "taken", "takes")
+
+
+def _without(columns: list[str], names: tuple[str, ...]) -> list[str]:
+    return [c for c in columns if c.lower() not in names]
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row: rows that have it in common are equal, hence interchangeable."""
+    return F.xxhash64(F.lit(23), *[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS, knots=KNOTS, rates=RATES, seed: int = 17, keep: list[str] | None = None, key: str | None = None) -> DataFrame:
+    """One row for each document: its columns (``keep``; all by default) and size, source_size, target, taken, and takes.
 
     takes: array of struct(epoch, words, position), one entry for each time that the document is taken; the document at
     which a source's target ends is taken for its first ``words`` words only, so taken words equal the target, rounded
     down. taken is the sum. A source's documents come in an order that hashes of id and text fix; rows equal in both
     are interchangeable, so reruns agree. A cumulative size over a hot source is a sum over chunks of CHUNK_ROWS rows
-    and, over the chunks' totals, a second one: no task gets a source's rows together.
+    and, over the chunks' totals, a second one: no task gets a source's rows together. Texts are read once; what is
+    kept is written to the checkpoint folder, so keep no texts of a large table. key: name of a column for the row's hash.
 
     Null text: size 0. Null source: a source of its own, the last. Sizes of 0 everywhere: targets 0, nothing taken.
+    Input columns of the names above are replaced, whatever their case; all others stay.
     """
-    base = docs.withColumn("size", words(F.col("text"))).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    plan = F.broadcast(source_plan(docs.select("source", words(F.col("text")).alias("size")), weights, share, most).withColumnRenamed("source", "__source"))
-    base = base.drop("source_size", "target", "taken", "takes").join(plan, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source", "weight")
-    chunks = F.ceil(F.col("n_docs") / CHUNK_ROWS)
-    base = base.withColumn("__chunk", F.pmod("__h", chunks))
-    lean = base.select("rank", "__chunk", "size")
-    before = Window.partitionBy("rank").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    kept = _without(docs.columns if keep is None else keep, OUT)
+    lean = docs.select(
+        *[F.col(f"`{c}`") for c in kept], F.struct(words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), row_key(docs).alias("key"), "doc_id", "source").alias("__d")
+    )
+    lean = cut_lineage(lean)
+    sized = lean.select(F.col("__d.source").alias("source"), F.col("__d.size").alias("size"))
+    plan = cut_lineage(source_plan(sized, weights, share, most).select(F.struct("*").alias("__s")))
+    base = lean.join(plan, F.col("__d.source").eqNullSafe(F.col("__s.source")))
+    base = base.withColumn("__chunk", F.pmod("__d.h", F.ceil(F.col("__s.n_docs") / CHUNK_ROWS))).withColumn("__rank", F.col("__s.rank"))
+    before = Window.partitionBy("__rank").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        lean.groupBy("rank", "__chunk")
-        .agg(F.sum("size").alias("__n"))
+        base.groupBy("__rank", "__chunk")
+        .agg(F.sum("__d.size").alias("__n"))
         .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .drop("__n")
     )
-    inside = Window.partitionBy("rank", "__chunk").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__rank", "__chunk").orderBy("__d.h", "__d.doc_id", "__d.size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        base.join(offsets, ["rank", "__chunk"])
-        .withColumn("__start", F.col("__before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        base.join(offsets, ["__rank", "__chunk"])
+        .withColumn("__start", F.col("__before") + F.coalesce(F.sum("__d.size").over(inside), F.lit(0)))
     )
-    rate = F.element_at(F.array(*[F.array(*map(F.lit, map(float, r))) for r in rates]), (F.col("rank") % len(rates) + 1).cast("int"))
-    goal = F.floor(F.col("target")).cast("long")
+    rate = F.element_at(F.array(*[F.array(*map(F.lit, map(float, r))) for r in rates]), (F.col("__rank") % len(rates) + 1).cast("int"))
+    target = F.col("__s.target")
+    goal = F.floor(target).cast("long")
 
     def take(epoch: int) -> Column:
-        first = F.col("__start") + F.col("source_size") * epoch
-        n = F.least(F.greatest(goal - first, F.lit(0)), F.col("size"))
-        return F.struct(F.lit(epoch + 1).alias("epoch"), n.alias("words"), due(rate, first.cast("double"), F.col("target"), knots).alias("position"))
+        first = F.col("__start") + F.col("__s.source_size") * epoch
+        n = F.least(F.greatest(goal - first, F.lit(0)), F.col("__d.size"))
+        return F.struct(F.lit(epoch + 1).alias("epoch"), n.alias("words"), due(rate, first.cast("double"), target, knots).alias("position"))
 
     takes = F.filter(F.array(*[take(e) for e in range(most)]), lambda t: t["words"] > 0)
-    out = placed.withColumn("takes", takes)
-    return out.withColumn("taken", F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + t["words"])).drop(
-        "__h", "__chunk", "__before", "__start", "rank", "n_docs"
-    )
+    out = placed.withColumn("__takes", takes)
+    return out.select(
+        *[F.col(f"`{c}`") for c in kept], F.col("__d.size").alias("size"), F.col("__s.source_size").alias("source_size"), target.alias("target"),
+        F.aggregate("__takes", F.lit(0).cast("long"), lambda a, t: a + t["words"]).alias("taken"), F.col("__takes").alias("takes"), *([F.col("__d.key").alias(key)] if key else []),
+    )
+
+
+def taken_rows(docs: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
+    """The rows of docs that the mix takes, with takes and size; a row for each distinct row of docs, with the takes of all that equal it.
+
+    mixed: mix(docs, keep=[], key=key), which holds no texts; here they are dealt once, by the rows' hashes.
+    """
+    of = mixed.where("taken > 0").groupBy(key).agg(F.flatten(F.collect_list("takes")).alias("takes"), F.first("size").alias("size"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in _without(docs.columns, OUT)], row_key(docs).alias(key)).dropDuplicates([key])
+    return rows.join(of, key).drop(key)
 
 
 def schedule(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The training order: a row for each take, range-sorted by position over the cluster, with columns epoch and position.
 
-    A document that is taken in part has its text cut after the words taken, white space between them unchanged.
+    A document that is taken in part has its text cut after the words taken, white space between them unchanged. Input
+    columns epoch and position are replaced.
     """
-    t = mixed.select("*", F.explode("takes").alias("__t"))
+    names = _without(columns, ("epoch", "position"))
+    t = mixed.select(*[F.col(f"`{c}`") for c in {*names, "doc_id", "text", "size"} if c in mixed.columns], F.explode("takes").alias("__t"))
     pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.when(F.col("__t.words") < F.col("size"), F.array_join(F.slice(pieces, 1, F.col("__t.words").cast("int")), "")).otherwise(F.col("text"))
-    t = t.withColumn("text", cut).select(*columns, F.col("__t.epoch").alias("epoch"), F.col("__t.position").alias("position"))
-    return t.orderBy("position", "epoch", "doc_id")
+    t = t.withColumn("text", cut).orderBy("__t.position", "__t.epoch", "doc_id")
+    return t.select(*[F.col(f"`{c}`") for c in names], F.col("__t.epoch").alias("epoch"), F.col("__t.position").alias("position"))

@@ -15,11 +15,10 @@ from .common import held_out, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs).select(
-        "doc_id", "size", "source_size", "target", "taken", F.try_element_at(F.col("takes.position"), F.lit(1)).alias("position"), F.col("takes.position").alias("positions")
-    )
-    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
+    positions = F.col("takes.position")
+    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at(positions, F.lit(1)).alias("position"), positions.alias("positions"))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
