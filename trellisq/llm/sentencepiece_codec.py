@@ -126,9 +126,13 @@ def merges(m: Model) -> list[tuple[str, str]]:
 
 
 class Codec:
-    def __init__(self, data: bytes):
+    """data: a model file's bytes. check: the sentencepiece library's processor of it; every word that is met first is then verified."""
+
+    def __init__(self, data: bytes, check=None):  # noqa: ANN001
         import tokenizers as T
 
+        self.check, self.wrong = check, set()
+
         m = self.model = parse(data)
         vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
         unk = m.pieces[m.unk_id][0]
@@ -160,9 +164,16 @@ class Codec:
         return (MARK + text if text and m.dummy_prefix else text).replace(" ", MARK)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Words that a batch hasn't met go through the tokenizer together, on all its threads."""
+        return self.verified(texts)[0]
+
+    def verified(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text, and whether the library gives the same ids for all of its words (for the whole text, where words can't be taken apart).
+
+        Words that a batch hasn't met go through the tokenizer together, on all its threads, and are verified once.
+        """
         if not self.by_word:
-            return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            out = [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return out, [self.check is None or self.check.encode(t) == ids.tolist() for t, ids in zip(texts, out, strict=True)]
         split = [PIECES.findall(self.normalise(t)) for t in texts]
         known = self.known
         if len(known) > KNOWN_WORDS:
@@ -172,10 +183,17 @@ class Codec:
         known.update({w: self.before[w] for w in new if w in self.before})
         new = list(new.difference(self.before))
         found = [e.ids for e in self.word_tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        if self.check is not None:
+            plain = [(w[1:] if self.model.dummy_prefix and w[0] == MARK else w).replace(MARK, " ") for w in new]
+            checked = self.check.encode(plain, num_threads=1)
+            if "" in plain:  # a marker alone, at a text's end: an empty text wouldn't get it
+                checked[plain.index("")] = self.check.encode("a ")[len(self.check.encode("a")) :]
+            self.wrong.update(w for w, ids, other in zip(new, found, checked, strict=True) if ids != other)
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) * 4).tolist()
         packed = np.fromiter(chain.from_iterable(found), "<i4").tobytes()
         known.update(zip(new, map(packed.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
+        ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
+        return ids, [not self.wrong or self.wrong.isdisjoint(words) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; control pieces give nothing, and the space that the dummy prefix gave goes."""
@@ -187,15 +205,17 @@ class Codec:
 @lru_cache(maxsize=2)
 def load(path: str = MODEL) -> Codec:
     """Reads a model file that every machine has at this path; a worker process keeps it from task to task."""
+    import sentencepiece
+
     with open(path, "rb") as f:
-        return Codec(f.read())
+        return Codec(f.read(), sentencepiece.SentencePieceProcessor(model_file=path))
 
 
 def parity(codec: Codec, path: str, texts: list[str]) -> list[str]:
     """The texts for which the sentencepiece library gives other ids or another decoded text."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = codec.check or sentencepiece.SentencePieceProcessor(model_file=path)
     return [t for t, ids in zip(texts, codec.encode(texts), strict=True) if sp.encode(t) != ids.tolist() or sp.decode(ids.tolist()) != codec.decode(ids)]
 
 
@@ -203,18 +223,19 @@ def parity(codec: Codec, path: str, texts: list[str]) -> list[str]:
 PROBES = ("", " ", "  a  b ", "Line one\nline two\r\n\ttab", "naïve été straße", "\U0001f600 க்ஷ ▁x", "<s> </s> <unk> <0x41>", "$$$ 123,456.78 foo_bar", "\x00\x01  　 ﻿", "a" * 300)
 
 
-def encode(docs: DataFrame, path: str = MODEL, keep: list[str] | None = None, every: int = 1) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, keep: list[str] | None = None, every: int = 64) -> DataFrame:
     """docs with ids (array of int), n_tokens, n_fallback (byte pieces), round_trip and parity.
 
     round_trip: decoding the ids gives the text back (for a model whose normaliser changes nothing, always true).
-    parity: the sentencepiece library gives the same ids; it's checked for PROBES at each task's start, where a
-    difference is an error, and for every row. A larger ``every`` leaves it null but where the text's CRC is divisible by it.
+    parity: the sentencepiece library gives the same ids. It's checked for PROBES at each task's start, where a difference
+    is an error, and for every row: by each of its words, as no piece joins two of them, and where the text's CRC is
+    divisible by ``every`` by the whole text too.
     Null texts are encoded as empty ones, which have no ids.
     """
     return _encoded(docs, path, keep, every, digest=False)
 
 
-def encode_digest(docs: DataFrame, path: str = MODEL, keep: list[str] | None = None, every: int = 1) -> DataFrame:
+def encode_digest(docs: DataFrame, path: str = MODEL, keep: list[str] | None = None, every: int = 64) -> DataFrame:
     """As encode(), with ids_sha256 (of the ids as little-endian 32-bit numbers) in place of the ids."""
     return _encoded(docs, path, keep, every, digest=True)
 
@@ -234,15 +255,12 @@ def _encoded(docs: DataFrame, path: str, keep: list[str] | None, every: int, dig
     def make():
         import zlib
 
-        import sentencepiece
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
         codec = load(path)
         wrong = parity(codec, path, list(PROBES))
         if wrong:
             raise ValueError(f"the rebuilt tokenizer differs from sentencepiece for {wrong[0]!r}")
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         is_byte = np.zeros(len(codec.model.pieces), bool)
         is_byte[list(codec.bytes)] = True
 
@@ -250,8 +268,9 @@ def _encoded(docs: DataFrame, path: str, keep: list[str] | None, every: int, dig
             out: list[list] = [[] for _ in range(5)]
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]
-                for t, ids in zip(part, codec.encode(part), strict=True):
-                    same = sp.encode(t) == ids.tolist() if zlib.crc32(t.encode()) % every == 0 else None
+                for t, ids, same in zip(part, *codec.verified(part), strict=True):
+                    if same and zlib.crc32(t.encode("utf-8", "replace")) % every == 0:
+                        same = codec.check.encode(t) == ids.tolist()
                     row = (hashlib.sha256(ids).hexdigest() if digest else ids, len(ids), int(is_byte[ids].sum()), codec.decode(ids) == t, same)
                     for col, v in zip(out, row, strict=True):
                         col.append(v)
