@@ -85,6 +85,25 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, small):
     assert results(minhash_dedup.dedup(frame(spark, rows))) == expected(rows)
 
 
+def test_a_passage_in_many_dissimilar_documents(spark, monkeypatch):
+    """Its buckets are wide, their leaders many: groups stay bounded, and no link is lost."""
+    monkeypatch.setattr(minhash_dedup, "BUCKET", 40)
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage, rows = [word() for _ in range(40)], []
+    for k in range(300):
+        words = [word() for _ in range(25)] + passage + [word() for _ in range(25)]
+        rows.append((2 * k, " ".join(words)))
+        if k % 10 == 0:
+            words[3] = word()
+            rows.append((2 * k + 1, " ".join(words)))
+    docs = frame(spark, rows)
+    sketched = minhash_dedup.sketches(docs, ["doc_id"]).where("node IS NOT NULL")
+    groups = minhash_dedup._narrowed(sketched.select(F.explode("first").alias("key"), "node"), sketched)
+    assert 0 < groups.groupBy("key").count().agg(F.max("count")).first()[0] <= 2 * 40
+    assert results(minhash_dedup.dedup(docs)) == expected(rows)
+
+
 def test_one_of_each_group_stays(spark, odd):
     rows = families(6, 12) + [(903, PROSE), (903, PROSE), (904, PROSE + " end")]
     got = minhash_dedup.distinct(frame(spark, rows).withColumn("extra", F.lit(1)))

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,37 +35,36 @@ def _small_star(e: DataFrame) -> DataFrame:
     return side.unionByName(least.withColumnRenamed("m", "b")).distinct()
 
 
-def stars(pairs: list[tuple]) -> list[tuple]:
-    """(node, smallest node that it reaches) for the nodes of the pairs but the smallest ones."""
-    root: dict = {}
-
-    def find(x):  # noqa: ANN001, ANN202
-        top = x
-        while (up := root.get(top, top)) != top:
-            top = up
-        while (up := root.get(x, x)) != top:
-            root[x] = top
-            x = up
-        return top
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [(x, find(x)) for x in list(root)]
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that the links a, b reach. Larger roots hook to smaller ones, and paths are halved."""
+    root = np.arange(n)
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
 
 
 def _merged(e: DataFrame, parts: int) -> DataFrame:
     """Stars of e's links, after its partitions are merged into ``parts`` without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, schema = [], None
-        for b in batches:
-            schema = b.schema
-            found += zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)
-        if schema is not None:
-            out = stars(found)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=schema.field(i).type) for i in range(2)], schema=schema)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        schema, n = held[0].schema, sum(b.num_rows for b in held)
+        ends = pa.chunked_array([b.column("a") for b in held] + [b.column("b") for b in held]).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(ends.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        at = rank[ends.indices.to_numpy()]
+        root = roots(at[:n], at[n:], len(order))
+        nodes, moved = ends.dictionary.take(order), np.flatnonzero(root != np.arange(len(order)))
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], schema=schema)
 
     return e.coalesce(parts).mapInArrow(run, e.schema)
 

@@ -8,7 +8,9 @@ of a second one, each made of two minhashes. So ROOT * ROOT tables of four minha
 before anything else is moved; in the others, nodes that share a key of the second collection too, hence a table, are
 candidates. A bucket's candidates are connected through leaders: every node goes with each leader whose sketch agrees
 with its own at least in part, and is a leader itself unless one agrees almost wholly, so that no pair in a bucket is
-lost through the choice of leaders; a bucket gives at most one pair for each of its nodes. 3. Clusters of candidates: connected components.
+lost through the choice of leaders; a bucket gives at most one pair for each of its nodes. A bucket of more than BUCKET
+nodes is dealt into parts, and the parts' leaders meet by tables and in pairs of parts, so that no group of rows in a
+task grows with the corpus. 3. Clusters of candidates: connected components.
 4. Links are confirmed on the full shingle sets within clusters. A cluster of more than CHUNK nodes or SHINGLES
 shingles is dealt into chunks; components found within chunks, and those of one node from each, are merged, and then
 only pairs of chunks that still differ in component are compared, which is exact whatever the earlier steps gave.
@@ -34,9 +36,12 @@ ROOT, PER_KEY = 16, 2
 HASHES = 2 * ROOT * PER_KEY
 #: Share of equal minhashes from which a node is joined to a leader, and from which it isn't a leader itself.
 ATTACH, COVER = 0.3, 0.85
+#: The same for two leaders of one wide bucket, which none covers: copies of theirs at 0.75 leave them 0.45 alike at least.
+LEADERS = 0.2
 #: Nodes and shingles that one task compares at most; nodes of one bucket that are led together.
-CHUNK, SHINGLES, BUCKET = 1500, 1_000_000, 4000
-KNOWN_WORDS = 300_000
+CHUNK, SHINGLES, BUCKET = 1500, 1_000_000, 1000
+#: Words whose hashes a task remembers at most, beside those of one text.
+KNOWN_WORDS = 100_000
 
 _r = np.random.default_rng(20)
 _MULT = _r.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,10 +147,12 @@ def by_group(batches: Iterator[pa.RecordBatch], names: list[str], rows: int) ->
         yield pa.Table.from_batches(held)
 
 
-def lead(group: np.ndarray, second: np.ndarray, sketch: np.ndarray, attach: float, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lead(group: np.ndarray, second: np.ndarray | None, sketch: np.ndarray, attach: float, cover: float, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, others, leaders): pairs of rows that connect each group as its leaders do, at most one for each row; the leaders.
 
-    group: sorted group numbers. Round after round the first row of each group that no leader covers becomes a leader
+    group: sorted group numbers. second: keys of which a row and its leader must have one in common; none if that is
+    known of the group. attach and cover: the shares of equal minhashes from which a row is joined to a leader, and from
+    which it isn't one itself. Round after round the first row of each group that no leader covers becomes a leader
     and is compared with all rows of its group at once. A group is done when it's connected, or, where ``whole``, when
     every row is covered.
     """
@@ -166,8 +173,10 @@ def lead(group: np.ndarray, second: np.ndarray, sketch: np.ndarray, attach: floa
         for some in np.array_split(live, max(1, len(live) // 20_000)):
             l = leader[of[some]]
             same = (sketch[some] == sketch[l]).mean(1)
-            ok = (second[some] == second[l]).any(1) & (same >= attach) & (some != l)
-            covered[some[ok & (same >= COVER)]] = True
+            ok = (same >= attach) & (some != l)
+            if second is not None:
+                ok &= (second[some] == second[l]).any(1)
+            covered[some[ok & (same >= cover)]] = True
             r, l = some[ok], l[ok]
             apart = part_of[r] != part_of[l]
             _, one = np.unique(part_of[r[apart]], return_index=True)  # one row of each part that a leader joins to its own
@@ -185,8 +194,11 @@ def lead(group: np.ndarray, second: np.ndarray, sketch: np.ndarray, attach: floa
     return np.concatenate(rows), np.concatenate(others), np.concatenate(leaders)
 
 
-def _candidates(buckets: DataFrame, groups: list[str], attach: float) -> DataFrame:
-    """(key, a, b): pairs of nodes that connect each group of buckets' rows, and for groups that are ``wide`` the leaders as (key, a, a)."""
+def _candidates(buckets: DataFrame, groups: list[str], attach: float, cover: float, tables: bool) -> DataFrame:
+    """(key, a, b): pairs of nodes that connect each group of buckets' rows, and for groups that are ``wide`` the leaders as (key, a, a).
+
+    tables: whether a pair must be seen to share a key of the second collection.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, groups, 20_000):
@@ -198,7 +210,7 @@ def _candidates(buckets: DataFrame, groups: list[str], attach: float) -> DataFra
             raw = np.frombuffer(b"".join(t.column("rest").to_pylist()), np.uint8).reshape(len(t), -1)
             second, sketch = raw[:, : 8 * ROOT].copy().view(np.int64), raw[:, 8 * ROOT :].copy().view(np.uint16)
             whole = t.column("wide").to_numpy()
-            rows, others, leaders = lead(np.cumsum(change), second, sketch, attach, whole)
+            rows, others, leaders = lead(np.cumsum(change), second if tables else None, sketch, attach, cover, whole)
             leaders = leaders[whole[leaders]]
             left, right = pa.array(np.concatenate([rows, leaders])), pa.array(np.concatenate([others, leaders]))
             node = t.column("node").combine_chunks()
@@ -210,6 +222,30 @@ def _candidates(buckets: DataFrame, groups: list[str], attach: float) -> DataFra
     return buckets.select("key", *[g for g in groups if g != "key"], "wide", "node", "rest").repartition(parts, *groups).sortWithinPartitions(*groups, "node").mapInArrow(run, "key long, a binary, b binary")
 
 
+def _narrowed(leaders: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, rest, wide): the leaders of wide buckets in groups of at most BUCKET rows, which hold every pair that shares a table.
+
+    Up to BUCKET leaders of one key stay together. More are dealt by each key of the second collection, since pairs need
+    one of those in common too, and where a table is still wider, its rows are dealt into parts and every two parts are
+    a group. Groups are named by a hash; two that get the same name by chance are compared together, which adds no pair
+    that shares no table.
+    """
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+
+    by_first = counted(leaders)
+    few = by_first.where(F.col("n") <= BUCKET).select("key", "node")
+    place = F.explode(F.sequence(F.lit(0), F.lit(ROOT - 1))).alias("j")
+    second = by_first.where(F.col("n") > BUCKET).select("key", "node").join(nodes.select("node", "rest"), "node").select("key", "node", "rest", place)
+    tables = counted(second.select(F.xxhash64("key", "j", F.expr("substring(rest, 8 * j + 1, 8)")).alias("key"), "node"))
+    parts = F.ceil(2 * F.col("n") / BUCKET)
+    part = F.pmod(F.xxhash64("node", "key"), parts)
+    pair = tables.where(F.col("n") > BUCKET).select("key", "node", part.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("q"))
+    pair = pair.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("key"), "node")
+    all_ = few.unionByName(tables.where(F.col("n") <= BUCKET).select("key", "node")).unionByName(pair)
+    return all_.join(nodes.select("node", "rest"), "node").withColumn("wide", F.lit(False))
+
+
 def clusters(nodes: DataFrame) -> DataFrame:
     """(node, component): clusters of candidate nodes. nodes: distinct node, with first and rest. A lone node has no row."""
     one = nodes.select("node", F.explode("first").alias("key"))
@@ -217,10 +253,11 @@ def clusters(nodes: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BUCKET)).cast("int")
     met = one.join(n, "key").select("node", "key", part.alias("part"), (F.col("n") > BUCKET).alias("wide"))
     buckets = met.join(nodes.select("node", "rest"), "node")
-    found = cut_lineage(_candidates(buckets, ["key", "part"], ATTACH))
+    found = cut_lineage(_candidates(buckets, ["key", "part"], ATTACH, COVER, tables=True))
     links = found.where("a <> b").select("a", "b")
-    leaders = found.where("a = b").select("key", F.lit(False).alias("wide"), F.col("a").alias("node")).join(nodes.select("node", "rest"), "node")
-    links = links.unionByName(_candidates(leaders, ["key"], ATTACH - 0.1).where("a <> b").select("a", "b"))
+    leaders = cut_lineage(found.where("a = b").select("key", F.col("a").alias("node")))
+    if not leaders.isEmpty():
+        links = links.unionByName(_candidates(_narrowed(leaders, nodes), ["key"], LEADERS, cover=2.0, tables=False).where("a <> b").select("a", "b"))
     return components(links)
 
 
