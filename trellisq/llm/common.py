@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from ..plans.fixpoint import shared_folder
+
 #: A word: a maximal run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
 
 #: Bounds on one Arrow batch, so that a run of very long texts stays small in a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -38,10 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Uses the folder of spark.checkpoint.dir; where that is unset, as in tests, one under /tmp."""
+    """Has checkpoints written to the folder that driver and executors share."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -74,18 +76,19 @@ def add_columns(
     column. keep: the input columns that stay; all by default.
     """
     tuned(docs.sparkSession)
-    new = {f.name for f in added.fields}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    new = {f.name.lower() for f in added.fields}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     schema = StructType([docs.schema[c] for c in kept] + list(added.fields))
     arrow = to_arrow_schema(added)
-    need = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
+    # a text that stays travels once; else it comes last and goes again
+    at = kept.index(text_col) if text_col in kept else len(kept)
+    need = docs.select(*[F.col(f"`{c}`") for c in kept], *([F.col(f"`{text_col}`").alias("__text")] if at == len(kept) else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for b in batches:
-            at = b.schema.names.index("__text")
-            out = compute(b.column(at).to_pylist())
-            cols = [b.column(i) for i in range(b.num_columns) if i != at]
+            out = compute(["" if t is None else t for t in b.column(at).to_pylist()])
+            cols = b.columns[: len(kept)]
             cols += [pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=[*kept, *arrow.names])
 
@@ -109,8 +112,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     """(doc_id, whole text, label) of at most ``most`` learnable labelled documents, the same ones on every run.
 
     The ids with the smallest hashes are taken first (a distributed top-k over ids alone), then only their texts are
-    fetched. ``most`` is the documented bound of what a classifier is fitted on; scoring covers every row. Ids may repeat
-    in docs; then there are at most twice as many texts.
+    fetched, one for each id: where ids repeat in docs, the text whose hash is least. ``most`` is the documented bound of
+    what a classifier is fitted on; scoring covers every row.
     """
     ids = (
         labels.where(F.col(label).isin(0, 1) & learnable(F.col("doc_id")))
@@ -122,8 +125,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
         .join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id", "__label")
+        .agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
         .select("doc_id", "__text", "__label")
-        .limit(2 * most)
         .collect()
     )
     return sorted((r[0], r[1], int(r[2])) for r in rows)

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType
 
 from .common import WORDS, add_columns, fields
@@ -136,10 +137,11 @@ def cascade(f: Facts, rules: list[Rule]) -> str | None:
 def apply(docs: DataFrame, rules=RULES, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, first_rule.
 
-    The order of the rules is estimated on ``sample`` rows; all rows are judged, by their whole texts. Null and empty
+    The order of the rules is estimated on the ``sample`` rows whose hashes are least; all rows are judged, by their whole texts. Null and empty
     texts have no words and fail the base. first_rule: the rule that ended the cascade, null for a kept document.
     """
-    texts = [r[0] or "" for r in docs.select("text").limit(sample).collect()]
+    by = F.xxhash64(*[c for c in docs.columns if c == "doc_id"], "text")
+    texts = [r[0] or "" for r in docs.select("text", by.alias("h")).orderBy("h").limit(sample).collect()]
     names = [name for name, _, _ in order(texts, rules)]
 
     def make():

@@ -248,9 +248,10 @@ def findings(texts: list[str], most: int = MOST) -> list[tuple[str, int, int, in
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Network:
-    """Trains on the findings of the ``sample`` documents whose ids hash lowest; of repeated ids at most twice as many rows."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64(F.lit("secrets"), "doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "t").limit(2 * sample)
+    """Trains on the findings of the ``sample`` documents whose ids hash lowest, one text for each id: of several that whose hash is least."""
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64(F.lit("secrets"), "doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("__id"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id")))
+    rows = rows.groupBy("doc_id").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
     texts = [t for _, t in sorted((r[0] or 0, r[1]) for r in rows.collect())]
     items = [(t, a, z, a, z if label else a) for t, a, z, label in findings(texts) + generated(3000)] + generated_long(2000)
     random.Random(seed).shuffle(items)
