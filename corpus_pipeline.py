@@ -39,7 +39,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them, in training order."""
-    order = mixing.schedule(mixing.mix(docs.select(COLUMNS)), COLUMNS)
+    docs = docs.select(COLUMNS)
+    order = mixing.schedule(mixing.taken_rows(docs, mixing.mix(docs, keep=[], key="row"), "row"), COLUMNS)
     return order.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
