@@ -155,25 +155,33 @@ def cut(rows, length=400):
 def test_pieces_of_a_text_give_what_the_whole_gives(monkeypatch):
     r = random.Random(9)
     raw = bytes(r.choice(b"abc \xc3") for _ in range(5000)) + b"ab" * 600
+    raws = [b"short", raw, b"", raw[:400], raw[500:2000], raw[:399]]
 
-    def starts():
-        rows = [x for rows in suffix_dedup.anchor_rows(raw) for x in zip(*rows, strict=True)]
-        return {s + k: (int(core), p - s - k) for _, core, _, p, s, e in rows for k in range(e - s + 1)}
-
-    def chunks():
-        return {(int(name), int(n)) for names, runs in suffix_dedup.chunks(raw) for name, n in zip(names, runs, strict=True) if n}
+    def anchors():
+        return [x for rows in suffix_dedup.anchor_rows(raws) for x in zip(*rows, strict=True)]
 
-    whole, runs, words = starts(), chunks(), suffix_dedup.word_hashes(raw).tolist()
-    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
-    assert starts() == whole and len(whole) == len(raw) - 399
-    assert chunks() == runs and suffix_dedup.word_hashes(raw).tolist() == words
-    places = [int(i) for rows in suffix_dedup.anchor_rows(raw) for i in rows[0]]
-    kept = [k for k, n in enumerate(n for j, (_, runs) in enumerate(suffix_dedup.chunks(raw)) for n in ([-1] * bool(j) + runs.tolist())) if n > 0]
-    assert places == kept
-    todo = pa.array([[{"at": p, "lo": s, "hi": e, "rank": 1} for rows in suffix_dedup.anchor_rows(raw) for *_, p, s, e in zip(*rows, strict=True)]])
-    b = pa.record_batch([pa.array([raw.decode("latin-1").encode("ascii", "replace").decode()]), pa.array([b"c"]), pa.array([1]), todo], names=["text", "content", "m", "todo"])
-    found = next(iter(suffix_dedup._finer(1)(b)))
-    assert sorted(found[3].tolist()) == list(range(len(raw) - 399))
+    def starts():
+        return {(int(row), s + k): (int(core), p - s - k) for row, _, core, _, p, s, e in anchors() for k in range(e - s + 1)}
+
+    def runs():
+        return {(int(row), int(name), int(n)) for rows in suffix_dedup.chunks(raws) for row, name, n in zip(*rows, strict=True) if n > 0}
+
+    whole, chunks, words = starts(), runs(), suffix_dedup.word_hashes(raw)[0].tolist()
+    assert len(whole) == sum(max(0, len(x) - 399) for x in raws)
+    for piece, together in ((700, 1 << 18), (700, 1), (1 << 20, 1)):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+        assert starts() == whole and runs() == chunks and suffix_dedup.word_hashes(raw)[0].tolist() == words
+        listed = collections.defaultdict(list)
+        for rows in suffix_dedup.chunks(raws):
+            for row, _, n in zip(*rows, strict=True):
+                listed[int(row)].append(n)
+        assert [(int(row), int(place)) for row, place, *_ in anchors()] == [(row, k) for row in sorted(listed) for k, n in enumerate(listed[row]) if n > 0]
+        todo = pa.array([[{"at": p, "lo": s, "hi": e, "rank": 1} for row, *_, p, s, e in anchors() if row == k] for k in range(len(raws))])
+        texts = [x.decode("latin-1").encode("ascii", "replace").decode() for x in raws]
+        b = pa.record_batch([pa.array(texts), pa.array([bytes([k]) for k in range(len(raws))]), pa.array([1] * len(raws), pa.int32()), todo], names=["text", "content", "m", "todo"])
+        found = [x for rows in suffix_dedup._finer(1)(b) for x in zip(rows[0].to_pylist(), rows[3].tolist(), strict=True)]
+        assert sorted(found) == sorted((bytes([row]), s) for row, s in whole)
 
 
 def test_words_hash_by_their_bytes(monkeypatch):
@@ -182,7 +190,7 @@ def test_words_hash_by_their_bytes(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 64)
     of = {}
     for t in texts:
-        got = suffix_dedup.word_hashes(t).tolist()
+        got = suffix_dedup.word_hashes(t)[0].tolist()
         assert len(got) == len(t.split())
         for w, h in zip(t.split(), got, strict=True):
             assert of.setdefault(w, h) == h

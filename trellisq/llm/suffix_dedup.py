@@ -23,6 +23,7 @@ second hash of all CORE bytes too.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..plans.fixpoint import shared_folder
 from .common import cut_lineage, tuned
 
 LENGTH, WINDOW, BLOCK, GRAM = 400, 145, 16, 8
@@ -39,9 +41,9 @@ LENGTH, WINDOW, BLOCK, GRAM = 400, 145, 16, 8
 CORE = LENGTH - WINDOW + 1
 REACH = CORE - GRAM + 1 - WINDOW
 #: The same for passages, in words.
-PASSAGE, WORD_WINDOW, WORD_GRAM = 51, 20, 4
-#: Starts of a text that are worked on at once; very long texts are read piece by piece.
-PIECE = 1 << 20
+PASSAGE, WORD_WINDOW, WORD_GRAM = 51, 32, 4
+#: Starts of a text that are worked on at once; very long texts are read piece by piece, short ones together up to so many bytes or words.
+PIECE, TOGETHER = 1 << 20, 1 << 18
 _M1, _M2, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -102,46 +104,90 @@ class Hashes:
         return _mix(self.of(lo, hi - lo + length) ^ ((p - lo).astype(np.uint64) * _M1) ^ ((p - hi).astype(np.uint64) * _M2))
 
 
-def owned(minima: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of the first so many starts, and the first and last start of each."""
-    own = minima[:starts]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    return own[first], first, np.concatenate([first[1:] - 1, [len(own) - 1]])
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... count[0] of them, then those from first[1] on, and so on."""
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
 
 
-def pieces(raw: bytes) -> Iterator[tuple[int, int, Hashes]]:
-    """(first start, end of the starts, hashes) of pieces that together hold every string of LENGTH bytes once."""
-    for at in range(0, len(raw) - LENGTH + 1, PIECE):
-        yield at, at + PIECE, Hashes.of_bytes(raw[at : at + PIECE + LENGTH - 1])
+def _changes(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
-def chunks(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash of a chunk's bytes, chunks that its anchor's strings all hold) of each piece; 0 chunks where no start has the anchor.
+def owned(minima: np.ndarray, off: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, anchor, first start, last start) for the anchors of so many starts from each off on: strings that lie in a piece."""
+    at = _ranges(off, starts)
+    own = minima[at]
+    first = _changes(own)
+    last = np.concatenate([first[1:] - 1, [len(own) - 1]])
+    return np.repeat(np.arange(len(off)), starts)[first], own[first], at[first], at[last]
 
-    A chunk reaches from an anchor to the gram of the next one, so both are known from it.
+
+def pieces(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Hashes]]:
+    """(row, its first start, place in the hashes, bytes) of pieces, many in one go, that together hold every string of LENGTH bytes once; the hashes."""
+    held: list[tuple[int, int, bytes]] = []
+
+    def out() -> tuple:
+        size = np.array([len(x) for *_, x in held])
+        return np.array([r for r, *_ in held]), np.array([a for _, a, _ in held]), np.cumsum(size) - size, size, Hashes.of_bytes(b"".join(x for *_, x in held))
+
+    n = 0
+    for row, raw in enumerate(raws):
+        for at in range(0, len(raw) - LENGTH + 1, PIECE):
+            held.append((row, at, raw[at : at + PIECE + LENGTH - 1]))
+            n += len(held[-1][2])
+            if n >= TOGETHER:
+                yield out()
+                held, n = [], 0
+    if held:
+        yield out()
+
+
+def _every(h: Hashes, m: np.ndarray, off: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, anchor) of all windows that lie in a piece."""
+    count = size - GRAM + 2 - WINDOW
+    own = m[_ranges(off, count)]
+    first = _changes(own)
+    return np.repeat(np.arange(len(off)), count)[first], own[first]
+
+
+def chunks(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, hash of a chunk's bytes, chunks that its anchor's strings all hold); 0 chunks where no start has the anchor.
+
+    A chunk reaches from an anchor to the gram of the next one, so both are known from it. Behind a piece's last one is a
+    gap, with -1 chunks.
     """
-    for _, _, h in pieces(raw):
+    for row, _, off, size, h in pieces(raws):
         m = h.minima(WINDOW)
-        p, *_ = owned(m, len(h.grams) + GRAM - LENGTH)
-        every = np.unique(m)
-        n = np.zeros(len(every) - 1, np.int64)
-        n[: len(p)] = np.searchsorted(every, m[p + REACH]) - np.arange(len(p))
-        size = np.diff(every)
-        yield _mix(h.of(every[:-1], size + GRAM) ^ (size.astype(np.uint64) * _M1)), n
-
-
-def anchor_rows(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-    """(place among the text's chunks, hash of the CORE bytes, hull, anchor, first start, last start) for the anchors of a text."""
-    before = 0
-    for at, _, h in pieces(raw):
+        _, p, *_ = owned(m, off, size - LENGTH + 1)
+        of, every = _every(h, m, off, size)
+        whole = np.flatnonzero(of[1:] == of[:-1])
+        width = (every[1:] - every[:-1])[whole]
+        names, n = np.zeros(len(every), np.uint64), np.full(len(every), -1)
+        names[whole] = _mix(h.of(every[whole], width + GRAM) ^ (width.astype(np.uint64) * _M1))
+        n[whole] = 0
+        at = np.searchsorted(every, p)
+        n[at] = np.searchsorted(every, m[p + REACH]) - at
+        yield row[of], names, n
+
+
+def anchor_rows(raws: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, place among the text's chunks, hash of the CORE bytes, hull, anchor, first start, last start) for the anchors of the texts."""
+    before = np.zeros(len(raws), np.int64)
+    for row, start, off, size, h in pieces(raws):
         m = h.minima(WINDOW)
-        p, lo, hi = owned(m, len(h.grams) + GRAM - LENGTH)
-        yield np.arange(len(p)) + before, h.of(p, CORE), h.hull(p, lo, hi, LENGTH), p + at, lo + at, hi + at
-        before += len(np.unique(m))  # one more than the chunks: between pieces is a gap
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash of each word of the text."""
+        of, p, lo, hi = owned(m, off, size - LENGTH + 1)
+        each, every = _every(h, m, off, size)
+        base = np.searchsorted(each, np.arange(len(row)))
+        shift = np.zeros(len(row), np.int64)
+        for k, n in enumerate(np.bincount(each, minlength=len(row))):  # of a text's pieces each goes on where the last one ended
+            shift[k] = before[row[k]]
+            before[row[k]] += n
+        move = (start - off)[of]
+        yield row[of], np.searchsorted(every, p) - base[of] + shift[of], h.of(p, CORE), h.hull(p, lo, hi, LENGTH), p + move, lo + move, hi + move
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the text, and where it starts."""
     b = np.frombuffer(raw, np.uint8)
     inside = np.concatenate([[False], ~_SPACE[b], [False]])
     starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
@@ -157,15 +203,39 @@ def word_hashes(raw: bytes) -> np.ndarray:
             part = (total[hi] - total[lo]) * _powers[1][lo]
             part[:1] *= np.array([pow(int(_P), max(0, at - int(starts[i])), 1 << 64)], np.uint64)  # the piece may begin within a word
             out[i:j] += part
-    return _mix(out)
-
-
-def passage_rows(words: np.ndarray) -> Iterator[tuple[Hashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hashes, core, hull, anchor, first start, last start) of the anchors of each piece of a text's words."""
-    for at in range(0, len(words) - PASSAGE + 1, PIECE):
-        h = Hashes.of_words(words[at : at + PIECE + PASSAGE - 1])
-        p, lo, hi = owned(h.minima(WORD_WINDOW), len(h.grams) + WORD_GRAM - PASSAGE)
-        yield h, h.of(p, PASSAGE - WORD_WINDOW + 1), h.hull(p, lo, hi, PASSAGE), p, lo, hi
+    return _mix(out), starts
+
+
+def passage_rows(raws: list[bytes]) -> Iterator[tuple]:
+    """(hashes of many texts' words, row, core, hull, anchor, first start, last start) of the anchors over words."""
+    held: list[tuple[int, np.ndarray]] = []
+
+    def out() -> tuple:
+        size = np.array([len(w) for _, w in held])
+        h = Hashes.of_words(np.concatenate([w for _, w in held]))
+        of, p, lo, hi = owned(h.minima(WORD_WINDOW), np.cumsum(size) - size, size - PASSAGE + 1)
+        return h, np.array([r for r, _ in held])[of], h.of(p, PASSAGE - WORD_WINDOW + 1), h.hull(p, lo, hi, PASSAGE), p, lo, hi
+
+    n = first = 0
+    while first < len(raws):
+        last, some = first, 0
+        while last < len(raws) and (last == first or some + len(raws[last]) < TOGETHER):
+            some += len(raws[last]) + 1
+            last += 1
+        joined = b" ".join(raws[first:last])
+        ends = np.cumsum([len(r) + 1 for r in raws[first:last]])
+        words, starts = word_hashes(joined)
+        cuts = np.searchsorted(starts, ends)
+        for row, (a, z) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True), first):
+            for at in range(a, z - PASSAGE + 1, PIECE):
+                held.append((row, words[at : min(z, at + PIECE + PASSAGE - 1)]))
+                n += len(held[-1][1])
+                if n >= TOGETHER:
+                    yield out()
+                    held, n = [], 0
+        first = last
+    if held:
+        yield out()
 
 
 def _mapped(df: DataFrame, schema: str, rows) -> DataFrame:  # noqa: ANN001
@@ -194,26 +264,24 @@ def _gathered(parts: list[tuple], width: int) -> list:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(width)]
 
 
-def _lists(rows: list[list[np.ndarray]], kind) -> pa.Array:  # noqa: ANN001
-    """One list for each row, of its arrays one after the other."""
-    ends = np.cumsum([0, *(sum(map(len, r)) for r in rows)])
-    flat = np.concatenate([np.zeros(0, kind), *(x.view(np.int64) if x.dtype == np.uint64 else x.astype(kind) for r in rows for x in r)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(kind)))
+def _repeat(content: list, counts: list[int]) -> pa.Array:
+    return pa.array(content, pa.binary()).take(pa.array(np.repeat(np.arange(len(content)), counts)))
+
+
+def _lists(rows: np.ndarray, values: np.ndarray, n: int, kind) -> pa.Array:  # noqa: ANN001
+    """One list for each of n rows: the values of that row; rows are sorted."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64).astype(kind)))
 
 
 def _parsed(b: pa.RecordBatch) -> Iterator[tuple]:
     """(content, id, hashes and runs of the chunks, cores and hulls of the passages) of texts that have some."""
-    names, runs, cores, hulls, some = [], [], [], [], []
-    for raw in _bytes(b):
-        found = list(chunks(raw))
-        gap = [(np.zeros(1, np.uint64), np.full(1, -1))] * (len(found) - 1)
-        both = [x for k, f in enumerate(found) for x in ([f] if not k else [gap[k - 1], f])]
-        words = list(passage_rows(word_hashes(raw)))
-        some.append(bool(found or words))
-        for col, v in ((names, [x for x, _ in both]), (runs, [x for _, x in both]), (cores, [x[1] for x in words]), (hulls, [x[2] for x in words])):
-            col.append(v)
-    keep = pa.array(some, pa.bool_())
-    yield tuple(c.filter(keep) for c in (b.column("content"), b.column("doc_id"), _lists(names, np.int64), _lists(runs, np.int16), _lists(cores, np.int64), _lists(hulls, np.int64)))
+    raws, n = _bytes(b), b.num_rows
+    row, name, run = _gathered(list(chunks(raws)), 3)
+    at, core, hull = _gathered([x[1:4] for x in passage_rows(raws)], 3)
+    keep = pa.array((np.bincount(row, minlength=n) + np.bincount(at, minlength=n)) > 0)
+    lists = (_lists(row, name, n, np.int64), _lists(row, run, n, np.int16), _lists(at, core, n, np.int64), _lists(at, hull, n, np.int64))
+    yield tuple(c.filter(keep) for c in (b.column("content"), b.column("doc_id"), *lists))
 
 
 def _states(b: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -298,27 +366,26 @@ def doubled(rows: DataFrame) -> DataFrame:
 _ROW = "content binary, m int, at int, lo int, hi int, k1 long, k2 long, hull long"
 
 
-def _repeat(content: list, counts: list[int]) -> pa.Array:
-    return pa.array(content, pa.binary()).take(pa.array(np.repeat(np.arange(len(content)), counts)))
+def _flat(lists: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """(row, fields) of the structs in a column of lists."""
+    values = lists.flatten()
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), *(np.array(values.field(k).to_numpy(zero_copy_only=False), np.int64) for k in names)
 
 
 def _anchors(b: pa.RecordBatch) -> Iterator[tuple]:
     """A row for each anchor that has ranks in its text's row; its key is of both ranks, the chunks' number and the CORE bytes."""
-    found, counts = [], []
-    for raw, m, ranks in zip(_bytes(b), b.column("m").to_pylist(), b.column("ranks"), strict=True):
-        n = 0
-        i, many, k1, k2 = (np.array(ranks.values.field(k).to_numpy(zero_copy_only=False)) for k in ("i", "n", "k1", "k2"))
-        order = np.argsort(i)
-        i, many, k1, k2 = i[order], many[order], k1[order], k2[order].view(np.uint64)
-        for place, core, hull, p, lo, hi in anchor_rows(raw):
-            at = np.minimum(np.searchsorted(i, place), len(i) - 1)
-            ok = i[at] == place
-            at = at[ok]
-            key = _mix(core[ok] ^ _mix(k2[at] * _M1 + many[at].astype(np.uint64)))
-            found.append((np.full(ok.sum(), m, np.int32), *(x[ok].astype(np.int32) for x in (p, lo, hi)), k1[at], key.view(np.int64), hull[ok]))
-            n += int(ok.sum())
-        counts.append(n)
-    yield (_repeat(b.column("content").to_pylist(), counts), *_gathered(found, 7))
+    of, i, many, k1, k2 = _flat(b.column("ranks"), "i", "n", "k1", "k2")
+    ranked = (of << 32) + i
+    order = np.argsort(ranked)
+    ranked, many, k1, k2 = ranked[order], many[order].astype(np.uint64), k1[order], k2[order].view(np.uint64)
+    content, m = b.column("content"), b.column("m").to_numpy()
+    for row, place, core, hull, p, lo, hi in anchor_rows(_bytes(b)):
+        wanted = (row << 32) + place
+        at = np.minimum(np.searchsorted(ranked, wanted), len(ranked) - 1)
+        ok = ranked[at] == wanted
+        at, row = at[ok], row[ok]
+        key = _mix(core[ok] ^ _mix(k2[at] * _M1 + many[at]))
+        yield content.take(pa.array(row)), m[row], p[ok].astype(np.int32), lo[ok].astype(np.int32), hi[ok].astype(np.int32), k1[at], key, hull[ok]
 
 
 def _finer(width: int):  # noqa: ANN202
@@ -326,24 +393,24 @@ def _finer(width: int):  # noqa: ANN202
     core = LENGTH - width + 1
 
     def rows(b: pa.RecordBatch) -> Iterator[tuple]:
-        found, counts = [], []
-        for raw, m, todo in zip(_bytes(b), b.column("m").to_pylist(), b.column("todo"), strict=True):
-            at, lo, hi, rank = (np.array(todo.values.field(k).to_numpy(zero_copy_only=False), np.int64) for k in ("at", "lo", "hi", "rank"))
-            n = 0
-            for offset, end, h in pieces(raw):
-                mine = (lo >= offset) & (lo < end)
-                p, a, z, r = at[mine] - offset, lo[mine] - offset, hi[mine] - offset, rank[mine]
-                first, last = (p - z) // width, (p - a) // width  # blocks by their distance before the anchor
-                each = last - first + 1
-                of = np.repeat(np.arange(len(p)), each)
-                j = np.repeat(first, each) + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-                top = p[of] - width * j  # the last start that a whole block has; its prefix is in all strings of the block
-                s, e = np.maximum(top - width + 1, a[of]), np.minimum(top, z[of])
-                key = _mix(h.of(top, core) ^ (j.astype(np.uint64) * _M1))
-                found.append((np.full(len(of), m, np.int32), *((x + offset).astype(np.int32) for x in (p[of], s, e)), r[of], key, h.hull(top, s, e, LENGTH)))
-                n += len(of)
-            counts.append(n)
-        yield (_repeat(b.column("content").to_pylist(), counts), *_gathered(found, 7))
+        text, at, lo, hi, rank = _flat(b.column("todo"), "at", "lo", "hi", "rank")
+        content, m = b.column("content"), b.column("m").to_numpy()
+        for row, start, off, _, h in pieces(_bytes(b)):
+            piece = (row << 32) + start // PIECE  # in order
+            mine = (text << 32) + lo // PIECE
+            k = np.minimum(np.searchsorted(piece, mine), len(piece) - 1)
+            ok = piece[k] == mine
+            move = (off - start)[k[ok]]
+            p, a, z, r, x = at[ok] + move, lo[ok] + move, hi[ok] + move, rank[ok], text[ok]
+            first, last = (p - z) // width, (p - a) // width  # blocks by their distance before the anchor
+            each = last - first + 1
+            of = np.repeat(np.arange(len(p)), each)
+            j = _ranges(first, each)
+            top = p[of] - width * j  # the last start that a whole block has; its prefix is in all strings of the block
+            s, e = np.maximum(top - width + 1, a[of]), np.minimum(top, z[of])
+            key, hull = _mix(h.of(top, core) ^ (j.astype(np.uint64) * _M1)), h.hull(top, s, e, LENGTH)
+            back = move[of]
+            yield content.take(pa.array(x[of])), m[x[of]], *((y - back).astype(np.int32) for y in (p[of], s, e)), r[of], key, hull
 
     return rows
 
@@ -354,7 +421,7 @@ def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = hulls.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("hulls"), F.sum("n").alias("all")).where("all > 1").drop("all")
     prefixes = cut_lineage(again.orderBy("k1", "k2").withColumn("rank", F.monotonically_increasing_id()))
     # written, so that the rows are dealt by all three keys: of one hot prefix there are many hulls
-    groups = cut_lineage(hulls.join(prefixes, ["k1", "k2"]))
+    groups = cut_lineage(hulls.join(prefixes, ["k1", "k2"]).withColumn("one", F.when((F.col("hulls") > 1) & (F.col("n") > 1), F.col("one"))))
     told = cut_lineage(rows.join(groups, ["k1", "k2", "hull"]).select(
         "content", "at", "lo", "hi", "rank", (F.col("n") > 1).alias("known"), ((F.col("hulls") > 1) & ((F.col("n") == 1) | (F.struct("content", "lo") == F.col("one")))).alias("open")
     ).where("known OR open"))
@@ -380,18 +447,14 @@ def _cut(b: pa.RecordBatch) -> Iterator[tuple]:
 
 def _passages(b: pa.RecordBatch) -> Iterator[tuple]:
     """(content, core, hash of PASSAGE words) for the starts whose core is among those that the text's row brings."""
-    found, counts = [], []
-    for raw, wanted in zip(_bytes(b), b.column("wanted"), strict=True):
-        n, some = 0, wanted.values.to_numpy(zero_copy_only=False)
-        for h, core, _, p, lo, hi in passage_rows(word_hashes(raw)):
-            ok = np.isin(core.view(np.int64), some)
-            each = (hi - lo + 1)[ok]
-            of = np.repeat(np.flatnonzero(ok), each)
-            s = np.repeat(lo[ok], each) + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-            found.append((core[of], _mix(h.of(s, PASSAGE) ^ ((p[of] - s).astype(np.uint64) * _M1))))
-            n += len(of)
-        counts.append(n)
-    yield (_repeat(b.column("content").to_pylist(), counts), *_gathered(found, 2))
+    of = np.repeat(np.arange(b.num_rows), b.column("wanted").value_lengths().to_numpy())
+    wanted = np.unique(_mix(b.column("wanted").flatten().to_numpy(zero_copy_only=False).view(np.uint64) + of.astype(np.uint64)))
+    for h, row, core, _, p, lo, hi in passage_rows(_bytes(b)):
+        ok = np.isin(_mix(core + row.astype(np.uint64)), wanted)
+        each = (hi - lo + 1)[ok]
+        of = np.repeat(np.flatnonzero(ok), each)
+        s = _ranges(lo[ok], each)
+        yield b.column("content").take(pa.array(row[of])), core[of], _mix(h.of(s, PASSAGE) ^ ((p[of] - s).astype(np.uint64) * _M1))
 
 
 def _fetched(base: DataFrame, need: DataFrame) -> DataFrame:
@@ -444,7 +507,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     chunk = distinct.select("content", F.posexplode(F.arrays_zip("names", "runs")).alias("i", "x")).where("x.runs >= 0")
     done = doubled(chunk.select("content", "i", F.col("x.runs").cast("int").alias("n"), F.col("x.names").alias("name")))
     wanted = done.groupBy("content").agg(F.collect_list(F.struct("i", "n", "k1", "k2")).alias("ranks"))
-    texts = cut_lineage(_fetched(base, distinct.select("content", "m", "id").join(wanted, "content")))
+    folder = f"{shared_folder(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"
+    _fetched(base, distinct.select("content", "m", "id").join(wanted, "content")).write.option("compression", "zstd").parquet(folder)
+    texts = docs.sparkSession.read.parquet(folder)
     spans, todo = _judged(_mapped(texts.select("content", "m", "text", "ranks"), _ROW, _anchors))
     every = spans
     for width in (BLOCK, 1):
@@ -455,7 +520,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     cut = texts.where("m = 1").select("content", "text").join(by_text, "content").select("content", "text", "spans")
     told = _mapped(cut, "content binary, n_removed long, n_spans long, kept_sha256 string", _cut)
     copied = distinct.where("m > 1 AND size(names) > 0").select("content", F.lit(True).alias("copied"))
-    told = told.join(copied, "content", "full").join(passages, "content", "full")
+    told = cut_lineage(told.join(copied, "content", "full").join(passages, "content", "full"))
+    path = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     none = F.lit(0).cast("long")
     out = light.join(told, "content", "left")
     return out.select(
