@@ -79,6 +79,42 @@ CASES = [
     (lambda: uri_text(term("L", L("x"))), None),
     (lambda: text_uri(L("a b")), None),
     (lambda: skolem(L(1)) == skolem(L(1)), True),
+    (lambda: BUILTINS["math:rounded"](L(9999999999999999)), 9999999999999999),
+    (lambda: BUILTINS["math:rounded"](L(1e20)), 10**20),
+    (lambda: BUILTINS["math:rounded"](L(0.49999999999999994)), 0),
+    (lambda: BUILTINS["math:rounded"](L("x")), None),
+    (lambda: maths.integer_power(L(3), L(40)), 3**40),
+    (lambda: maths.integer_power(L(-2), L(125)), -(2**125)),
+    (lambda: maths.integer_power(L(10), L(38)), None),
+    (lambda: maths.integer_power(L(-1), L(1001)), -1),
+    (lambda: maths.integer_power(L(7), L(0)), 1),
+    (lambda: BUILTINS["math:integerQuotient"](L("x"), L(5)), None),
+    (lambda: BUILTINS["math:greaterThan"](L("P1D"), L(5)), True),
+    (lambda: BUILTINS["math:greaterThan"](L("soon"), L(5)), False),
+    (lambda: BUILTINS["math:equalTo"](L("9007199254740993"), L("9007199254740992")), False),
+    (lambda: BUILTINS["math:lessThan"](L("2024-01-01T00:00:00+02:00"), L("2024-01-01T00:00:00Z")), True),
+    (lambda: maths.moved(L("2024-02-28"), L("P2D")), "2024-03-01T00:00:00Z"),
+    (lambda: maths.moved(L("2024-01-01T00:00:00Z"), L(1.5), -1), "2023-12-31T23:59:58.5Z"),
+    (lambda: maths.moved(L("never"), L(1)), None),
+    (lambda: strings.char_at(L("😀ab"), L(2)), "a"),
+    (lambda: strings.char_at(L("😀ab"), L(0)), None),
+    (lambda: strings.set_char_at(L("😀ab"), L(3), L("é")), "😀aé"),
+    (lambda: strings.formatted("%.2e|%g|%G|%08.3g", L(12345.678), L(0.0001), L(1e-10), L(2.5)), "1.23e+04|0.0001|1E-10|000002.5"),
+    (lambda: times.BUILTINS["time:month"](L("2024-13-03T23:30:00")), None),
+    (lambda: times.BUILTINS["time:hour"](L("2024-12-03T30:30:00")), None),
+    (lambda: datatypes.valid(L(":abc"), "anyURI"), False),
+    (lambda: datatypes.valid(L("a/b:c"), "anyURI"), True),
+    (lambda: datatypes.valid(L("1a:c"), "anyURI"), False),
+    (lambda: datatypes.valid(L("urn:x"), "anyURI"), True),
+    (lambda: datatypes.valid(L("a·b"), "NCName"), True),
+    (lambda: datatypes.valid(L("AQ ID"), "base64Binary"), True),
+    (lambda: datatypes.valid(L("3.5E38"), "float"), False),
+    (lambda: datatypes.valid(L("1.0E-46"), "float"), False),
+    (lambda: datatypes.valid(L("-0.0E-99"), "float"), True),
+    (lambda: datatypes.valid(L("1E400"), "double"), False),
+    (lambda: datatypes.canonical(L("1.50E1"), "double"), "15"),
+    (lambda: datatypes.canonical(L("-1e-7"), "double"), "-1E-7"),
+    (lambda: datatypes.canonical(L("1e30"), "double"), "1E+30"),
     (lambda: skolem(L(1), L("1")) == skolem(L("1"), L(1)), False),
 ]
 

@@ -16,24 +16,29 @@ INTEGERS = {
     "long": (-(2**63), 2**63 - 1), "int": (-(2**31), 2**31 - 1), "short": (-(2**15), 2**15 - 1), "byte": (-128, 127),
     "unsignedLong": (0, 2**64 - 1), "unsignedInt": (0, 2**32 - 1), "unsignedShort": (0, 2**16 - 1), "unsignedByte": (0, 255),
 }
-#: Fixed lexical patterns.
+#: Fixed character classes of names, and fixed lexical patterns.
+NAME_START, NAME_MORE = r"\p{L}_", r"\p{L}\p{N}._\-\x{B7}\x{300}-\x{36F}\x{203F}-\x{2040}"
+_REAL = r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|INF|-INF|NaN)$"
 PATTERNS = {
     "boolean": r"^(true|false|0|1)$",
     "decimal": r"^[+-]?(\d+(\.\d*)?|\.\d+)$",
-    "double": r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|INF|-INF|NaN)$",
-    "float": r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|INF|-INF|NaN)$",
+    "double": _REAL,
+    "float": _REAL,
     "hexBinary": r"^([0-9a-fA-F]{2})*$",
-    "base64Binary": r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$",
+    "base64Binary": r"^((\s*[A-Za-z0-9+/]){4})*((\s*[A-Za-z0-9+/]){2}\s*=\s*=|(\s*[A-Za-z0-9+/]){3}\s*=)?\s*$",
     "language": r"^[a-zA-Z]{1,8}(-[a-zA-Z0-9]{1,8})*$",
-    "Name": r"^[\p{L}_:][\p{L}\p{N}._:-]*$",
-    "NCName": r"^[\p{L}_][\p{L}\p{N}._-]*$",
-    "NMTOKEN": r"^[\p{L}\p{N}._:-]+$",
+    "Name": rf"^[{NAME_START}:][{NAME_MORE}:]*$",
+    "NCName": rf"^[{NAME_START}][{NAME_MORE}]*$",
+    "NMTOKEN": rf"^[{NAME_MORE}:]+$",
     "normalizedString": r"^[^\t\n\r]*$",
     "token": r"^(|[^\s]+( [^\s]+)*)$",
     "string": r"(?s)^.*$",
-    "anyURI": r"^([^\x00-\x20<>\"{}|^`\\%\x7f-\x{10FFFF}]|%[0-9a-fA-F]{2})*$",
+    # a colon before any slash, question mark or hash ends a scheme
+    "anyURI": r"^(?![^a-zA-Z/?#][^/?#]*:|:|[a-zA-Z][^/?#:]*[^a-zA-Z0-9+.\-/?#:][^/?#:]*:)([^\x00-\x20<>\"{}|^`\\%\x7f-\x{10FFFF}]|%[0-9a-fA-F]{2})*$",
     "dateTime": r"^-?([1-9]\d{4,}|\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T(([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?|24:00:00(\.0+)?)(Z|[+-](0\d|1[0-3]):[0-5]\d|[+-]14:00)?$",
 }
+#: Fixed least and greatest magnitudes of binary numbers other than 0.
+RANGES = {"float": (2.0**-149, (2 - 2.0**-23) * 2.0**127), "double": (5e-324, 1.7976931348623157e308)}
 _EXACT = "decimal(38,0)"
 
 
@@ -57,11 +62,28 @@ def valid(lex, datatype: str) -> Column:  # noqa: ANN001
     if datatype == "dateTime":
         day = F.regexp_extract(lex, r"^-?\d*(\d{4}-\d\d-\d\d)T", 1)
         return lex.rlike(PATTERNS["dateTime"]) & day.try_cast("date").isNotNull()
+    if datatype in RANGES:
+        low, high = RANGES[datatype]
+        special, n = lex.isin("INF", "-INF", "NaN"), F.abs(lex.try_cast("double"))
+        zero = ~F.regexp_extract(lex, r"^[^eE]*", 0).rlike("[1-9]")
+        return lex.rlike(PATTERNS[datatype]) & (special | F.coalesce(zero | ((n >= low) & (n <= high)), F.lit(False)))
     if datatype in PATTERNS:
         return lex.rlike(PATTERNS[datatype])
     return F.lit(None).cast("boolean")
 
 
+def _shortest(lex: Column, datatype: str) -> Column:
+    """A binary number's shortest decimal text: plain from 1e-6 to 1e21, else with an exponent; 0 has no sign."""
+    n = lex.try_cast("double")
+    shown = n.cast("string")  # d.dddE-x, or plain digits near 1
+    sign, digits = F.when(n < 0, "-").otherwise(""), F.regexp_replace(F.regexp_extract(shown, r"^-?([\d.]+)", 1), r"\.0$", "")
+    e = F.coalesce(F.nullif(F.regexp_extract(shown, r"E(-?\d+)$", 1), F.lit("")).try_cast("int"), F.lit(0))
+    plain = F.regexp_replace(F.regexp_replace(F.abs(n).cast("decimal(38,16)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    with_e = F.concat(digits, F.when(e >= 0, "E+").otherwise("E"), e.cast("string"))
+    special = F.when(lex.isin("INF", "-INF", "NaN"), lex).when(n == 0, "0")
+    return special.otherwise(F.concat(sign, F.when((F.abs(n) >= 1e-6) & (F.abs(n) < 1e21), plain).otherwise(with_e)))
+
+
 def canonical(lex, datatype: str) -> Column:  # noqa: ANN001
     """The canonical text of a valid literal; null for others."""
     lex = col(lex)
@@ -78,6 +100,10 @@ def canonical(lex, datatype: str) -> Column:  # noqa: ANN001
         out = F.upper(lex)
     elif datatype == "language":
         out = F.lower(lex)
+    elif datatype in RANGES:
+        out = _shortest(lex, datatype)
+    elif datatype == "base64Binary":
+        out = F.regexp_replace(lex, r"\s+", "")
     else:
         out = lex
     return F.when(valid(lex, datatype), out)

@@ -1,4 +1,7 @@
-"""math: arithmetic and comparisons. Integers stay exact; everything else is a double; no solution is null."""
+"""math: arithmetic and comparisons. Integers stay exact; everything else is a double; no solution is null, never an error.
+
+Comparisons put numbers, durations (by their seconds) and dates and dateTimes (by the seconds since 1970) on one scale.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import col
 
-#: Days of a mean year and month, for durations in seconds.
+#: Days of a mean year and month, for durations in seconds.
 YEAR_DAYS, MONTH_DAYS = 365.2425, 30.436875
 #: Within this a bound numeric output equals the computed one.
 NEAR = 1e-9
@@ -25,6 +28,14 @@ def real(x) -> Column:  # noqa: ANN001
     return col(x).try_cast("double")
 
 
+INTEGER = "decimal(38,0)"
+
+
+def whole(x) -> Column:  # noqa: ANN001
+    """x as a 64-bit integer, fractions cut off."""
+    return F.coalesce(col(x).cast("string").try_cast("long"), real(x).try_cast("long"))
+
+
 def added(*xs) -> Column:  # noqa: ANN002
     """Sum of the arguments; 0 for none."""
     return reduce(F.try_add, map(col, xs)) if xs else F.lit(0)
@@ -41,25 +52,38 @@ def quotient(a, b) -> Column:  # noqa: ANN001
 
 def integer_quotient(a, b) -> Column:  # noqa: ANN001
     """Truncates toward zero; null for a divisor of 0."""
-    a, b = col(a).cast("long"), col(b).cast("long")
+    a, b = whole(a), whole(b)
     rest = F.try_mod(a, b)
     return F.try_divide(a - rest, b).cast("long")
 
 
 def remainder(a, b) -> Column:  # noqa: ANN001
     """Has the dividend's sign; null for a divisor of 0."""
-    return F.try_mod(col(a).cast("long"), col(b).cast("long"))
+    return F.try_mod(whole(a), whole(b))
 
 
 def rounded(x) -> Column:  # noqa: ANN001
-    """To the nearest integer, ties upward."""
-    return F.floor(real(x) + 0.5).cast("long")
+    """To the nearest integer, ties upward, as decimal(38,0): integers of up to 38 digits stay as they are."""
+    text, d = col(x).cast("string"), real(x)
+    low = F.floor(d)
+    near_ = F.when(F.abs(d) < 2.0**52, (low + F.when(d - low >= 0.5, 1).otherwise(0)).try_cast(INTEGER)).otherwise(finite(d).try_cast(INTEGER))
+    return F.when(text.rlike(r"^[+-]?\d+(\.0*)?$"), text.try_cast("decimal(38,0)")).otherwise(near_)
 
 
 def exponentiation(base, e) -> Column:  # noqa: ANN001
     return finite(F.pow(real(base), real(e)))
 
 
+def integer_power(base, e) -> Column:  # noqa: ANN001
+    """The exact power of integers, e from 0 on, as decimal(38,0); null if it has more than 38 digits."""
+    b, e = col(base).cast("string").try_cast(INTEGER), whole(e)
+    one = F.lit(1).cast(INTEGER)
+    small = F.when(e == 0, one).when(b.isin(0, 1), b).when(b == -1, F.when(e % 2 == 0, one).otherwise(b))
+    steps = F.sequence(F.lit(1), F.least(F.greatest(e, F.lit(1)), F.lit(127)))
+    product = F.aggregate(steps, one, lambda a, _: F.try_multiply(a, b).try_cast(INTEGER))
+    return F.when(e < 0, F.lit(None)).otherwise(F.coalesce(small, F.when(e < 127, product)))
+
+
 def exponent(base, result) -> Column:  # noqa: ANN001
     """The inverse of exponentiation: the exponent that gives the result."""
     return finite(F.try_divide(F.ln(F.nullif(F.greatest(real(result), F.lit(0.0)), F.lit(0.0))), F.ln(F.nullif(F.greatest(real(base), F.lit(0.0)), F.lit(0.0)))))
@@ -88,13 +112,44 @@ def date_plus(moment, seconds) -> Column:  # noqa: ANN001
     return F.timestamp_micros(F.unix_micros(col(moment).cast("timestamp")) + (real(seconds) * 1_000_000).cast("long"))
 
 
+def moment(x) -> Column:  # noqa: ANN001
+    """Seconds since 1970 of a date, a dateTime or their text (UTC where there is no zone); null for others."""
+    text = col(x).cast("string")
+    return F.when(text.rlike(r"^-?\d{4,}-\d\d-\d\d"), F.unix_micros(text.try_cast("timestamp")) / 1_000_000)
+
+
+def moved(x, by, sign: int = 1) -> Column:  # noqa: ANN001
+    """A date or dateTime later (sign 1) or earlier (-1) by a duration or a number of seconds, as dateTime text in UTC."""
+    seconds = F.coalesce(real(by), duration_seconds(col(by).cast("string")))
+    micros = (F.round((moment(x) + sign * seconds) * 1_000_000)).try_cast("long")
+    return F.regexp_replace(F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), r"\.?0+Z$", "Z")
+
+
+def magnitude(x) -> Column:  # noqa: ANN001
+    """A number, a duration's seconds, or a date's or dateTime's moment, whichever x is."""
+    text = col(x).cast("string")
+    return F.coalesce(text.try_cast("double"), duration_seconds(text), moment(x))
+
+
 def near(bound, computed) -> Column:  # noqa: ANN001
     """Test that a bound output agrees with the computed one."""
     return F.abs(real(bound) - real(computed)) <= NEAR
 
 
 def _both(op):  # noqa: ANN001, ANN202
-    return lambda a, b: F.coalesce(op(col(a), col(b)), F.lit(False))
+    """Text is compared by magnitude, integers among it exactly; columns of other types as they are, so that filters reach the scan.
+
+    Which case it is depends on the columns' types alone, and the optimiser keeps that one only.
+    """
+
+    def test(a, b) -> Column:  # noqa: ANN001
+        a, b = col(a), col(b)
+        x, y = (v.cast("string").try_cast(INTEGER) for v in (a, b))
+        exact = F.when(a.cast("string").rlike(r"^[+-]?\d+$") & b.cast("string").rlike(r"^[+-]?\d+$"), op(x, y))
+        by_text = F.coalesce(exact, op(magnitude(a), magnitude(b)))
+        return F.coalesce(F.when((F.typeof(a) == "string") | (F.typeof(b) == "string"), by_text).otherwise(op(a, b)), F.lit(False))
+
+    return test
 
 
 def _real(f):  # noqa: ANN001, ANN202
@@ -116,6 +171,10 @@ BUILTINS = {
     "math:remainder": remainder,
     "math:rounded": rounded,
     "math:exponentiation": exponentiation,
+    "math:exponentiation of integers": integer_power,
+    "math:sum of dateTime and duration": moved,
+    "math:difference of dateTime and duration": lambda x, by: moved(x, by, -1),
+    "math:difference of dateTimes": date_difference,
     "math:absoluteValue": lambda x: F.abs(col(x)),
     "math:negation": lambda x: -col(x),
 } | {

@@ -1,4 +1,4 @@
-"""time: the parts of a dateTime's text as they are written, whatever its zone."""
+"""time: the parts of a dateTime's text as they are written, whatever its zone; null where a part is out of range."""
 
 from __future__ import annotations
 
@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from .common import col
 
-_WHOLE = r"^(-?\d{4,})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(?:\.\d+)?(Z|[+-]\d\d:\d\d)?$"
+#: Fixed pattern of a dateTime's parts, with their ranges; a day need not be one of its month.
+PARTS = r"^(-?\d{4,})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):([0-5]\d):([0-5]\d)(?:\.\d+)?(Z|[+-]\d\d:\d\d)?$"
+
+
+def _text(x, group: int) -> Column:  # noqa: ANN001
+    return F.when(col(x).rlike(PARTS), F.nullif(F.regexp_extract(col(x), PARTS, group), F.lit("")))
 
 
 def _part(group: int):  # noqa: ANN202
-    return lambda x: F.when(col(x).rlike(_WHOLE), F.regexp_extract(col(x), _WHOLE, group).try_cast("int"))
+    return lambda x: _text(x, group).try_cast("int")
 
 
 def zone(x) -> Column:  # noqa: ANN001
     """Z or an offset; null if there is none."""
-    return F.when(col(x).rlike(_WHOLE), F.nullif(F.regexp_extract(col(x), _WHOLE, 7), F.lit("")))
+    return _text(x, 7)
 
 
 def local_time(now: str) -> Column:
