@@ -73,9 +73,16 @@ def lines(facts: DataFrame) -> DataFrame:
     return facts.select(F.concat(text(F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), text(F.col("o")), F.lit(" .")).alias("value"))
 
 
-def save(facts: DataFrame, path: str, kind: str = "explicit", mode: str = "append") -> None:
-    """Adds facts to a Parquet store: a folder for each kind (explicit, inferred) and predicate, sorted by subject and object."""
-    facts.withColumn("kind", F.lit(kind)).repartition("p").sortWithinPartitions("p", "s", "o").write.partitionBy("kind", "p").mode(mode).parquet(path)
+def save(facts: DataFrame, path: str, kind: str = "explicit", mode: str = "append", rows: int = 1_000_000) -> None:
+    """Adds facts to a Parquet store: a folder for each kind (explicit, inferred) and predicate, sorted by subject and object.
+
+    A predicate's facts are dealt by their subjects to a task for each so many ``rows``: one that most facts have isn't
+    written by one task, and a rare one is one file.
+    """
+    share = facts.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / rows).alias("__files")).withColumnRenamed("p", "__p")
+    dealt = facts.join(share, F.col("p") == F.col("__p")).withColumn("__file", F.pmod(F.xxhash64("s"), F.col("__files"))).drop("__p", "__files")
+    dealt = dealt.withColumn("kind", F.lit(kind)).repartition("p", "__file").sortWithinPartitions("p", "s", "o").drop("__file")
+    dealt.write.partitionBy("kind", "p").mode(mode).parquet(path)
 
 
 def load(spark: SparkSession, path: str, s: str | None = None, p: str | None = None, o: str | None = None, kind: str | None = None) -> DataFrame:
