@@ -15,17 +15,25 @@ class Var(str):
 def match(facts: DataFrame, s, p, o) -> DataFrame:  # noqa: ANN001
     """Bindings of one pattern: a column for each variable. A repeated variable requires equal places.
 
-    Constants become filters that reach the scan; on a store partitioned by predicate a constant p prunes partitions.
+    Constants become filters that reach the scan; on a store partitioned by predicate a constant p prunes partitions. A
+    list in a place takes an array apart: it agrees with arrays of its length, element by element.
     """
     out, seen = facts, {}
+    places = []
     for column, x in (("s", s), ("p", p), ("o", o)):
+        if isinstance(x, (list, tuple)):
+            out = out.where(F.size(column) == len(x))
+            places += [(F.get(column, F.lit(k)), e) for k, e in enumerate(x)]
+        else:
+            places.append((F.col(column), x))
+    for place, x in places:
         if not isinstance(x, Var):
-            out = out.where(F.col(column) == F.lit(x))
+            out = out.where(place == F.lit(x))
         elif x in seen:
-            out = out.where(F.col(column) == F.col(seen[x]))
+            out = out.where(place == seen[x])
         else:
-            seen[x] = column
-    return out.select(*[F.col(c).alias(str(v)) for v, c in seen.items()])
+            seen[x] = place
+    return out.select(*[c.alias(str(v)) for v, c in seen.items()])
 
 
 def body(*parts: DataFrame) -> DataFrame:

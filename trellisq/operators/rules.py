@@ -1,10 +1,13 @@
-"""What rules do besides joins: constraints, existential heads, equality, graphs as values, rules as data."""
+"""What rules do besides joins: constraints, existential heads, equality, graphs as values, and rules as data.
+
+Rules as data are rows (premise, conclusion) of quoted graphs, in which a text that begins with ? is a variable.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.logic import skolem
@@ -31,10 +34,16 @@ def existential(bindings: DataFrame, rule: str, label: str, out: str) -> DataFra
     return bindings.withColumn(out, skolem(F.lit(rule), F.lit(label), *[F.col(c) for c in bindings.columns]))
 
 
-def same_as(facts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """facts with the subjects of stored pairs (a, b) interchangeable from a to b; pairs aren't made symmetric or transitive."""
-    swap = pairs.select(F.col("a").alias("s"), F.col("b").alias("__b"))
-    return facts.unionByName(facts.join(swap, "s").select(F.col("__b").alias("s"), "p", "o")).distinct()
+def same_as(facts: DataFrame, pairs: DataFrame, objects: bool = False) -> DataFrame:
+    """facts with the subjects of stored pairs (a, b), and with ``objects`` their objects too, interchangeable from a to b.
+
+    Pairs aren't made symmetric or transitive; every term is the same as itself, so the facts themselves stay.
+    """
+    swap = pairs.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+    out = facts.unionByName(facts.join(swap, F.col("s") == F.col("__a")).select(F.col("__b").alias("s"), "p", "o"))
+    if objects:
+        out = out.unionByName(out.join(swap, F.col("o") == F.col("__a")).select("s", "p", F.col("__b").alias("o")))
+    return out.distinct()
 
 
 def graph(facts: DataFrame, by: str | None = None, out: str = "graph") -> DataFrame:
@@ -71,21 +80,93 @@ def trace(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
-def conclusion(df: DataFrame, key: str, graph: str, out: str, implies: str = "implies") -> DataFrame:
-    """Deductive closure of quoted graphs whose rules are triples (premise fact, implies, conclusion fact), each fact as 's p o'.
+def rule(premise: list[tuple], conclusion: list[tuple]):  # noqa: ANN201
+    """A rule as a value: two quoted graphs. A text that begins with ? is a variable."""
+    quoted = lambda g: F.array(*[F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast("string").alias(n) for n, x in zip("spo", t, strict=True)]) for t in g]).cast(GRAPH)
+    return F.struct(quoted(premise).alias("premise"), quoted(conclusion).alias("conclusion"))
 
-    Facts are ground and their terms hold no blank; rules with variables or longer bodies and backward rules aren't read.
 
-    All graphs are saturated together, one relation keyed by the row.
-    """
-    triples = df.select(key, F.inline(graph))
-    rule = triples.where(F.col("p") == implies).select(F.col(key).alias("__k"), F.col("s").alias("__if"), F.split("o", " ").alias("__then"))
+def implies(rules: DataFrame) -> DataFrame:
+    """log:implies: the rules themselves as (s, o), s the premise's graph and o the conclusion's."""
+    return rules.select(F.col("premise").alias("s"), F.col("conclusion").alias("o"))
+
+
+def implied_by(rules: DataFrame) -> DataFrame:
+    """log:impliedBy: the same facts the other way round."""
+    return rules.select(F.col("conclusion").alias("s"), F.col("premise").alias("o"))
+
 
-    def step(new: DataFrame, full: DataFrame) -> DataFrame:
-        hit = new.join(rule, (F.col(key) == F.col("__k")) & (F.concat_ws(" ", "s", "p", "o") == F.col("__if")))
-        return hit.select(key, F.col("__then")[0].alias("s"), F.col("__then")[1].alias("p"), F.col("__then")[2].alias("o"))
+def _order(fresh: int, most: int) -> list[int]:
+    """The fresh premise first, then those before it, backwards, then those behind it: neighbours in a body mostly share a variable."""
+    return [*range(fresh, -1, -1), *range(fresh + 1, most)]
 
-    closed = saturate(triples, step)
+
+def _masks(shape: list, before: list[int], k: int) -> str:
+    """The places of the k-th premise that are known when the premises ``before`` are solved: constants, and variables of theirs."""
+    met = {v for j in before if j < len(shape) for v in shape[j]}
+    return "".join(x if v == "" or v in met else "-" for x, v in zip("spo", shape[k], strict=True))
+
+
+def _solved(bindings: DataFrame, facts: DataFrame, k: int, masks: list[str], by: list[str]) -> DataFrame:
+    """bindings, each extended by every fact that agrees with the k-th premise; rules with fewer premises go on as they are.
+
+    Which places of a premise are bound differs between rules, so facts are offered under a key for each set of bound
+    places that occurs, of eight at most, and the join is on equal keys.
+    """
+    done, open_ = bindings.where(F.size("premise") <= k), bindings.where(F.size("premise") > k)
+    place = {x: F.col("premise")[k][x] for x in "spo"}
+    known = {x: F.when(place[x].startswith("?"), F.try_element_at("__b", place[x])).otherwise(place[x]) for x in "spo"}
+    mask = F.concat(*[F.when(known[x].isNull(), "-").otherwise(x) for x in "spo"])
+    open_ = open_.withColumn("__at", F.struct(mask.alias("mask"), *[F.coalesce(known[x], F.lit("")).alias(x) for x in "spo"]))
+    at = F.array(*[F.struct(F.lit(m).alias("mask"), *[(F.col(x) if x in m else F.lit("")).alias(x) for x in "spo"]) for m in masks])
+    offered = facts.select(*[F.col(c).alias(f"__{c}") for c in by], F.struct("s", "p", "o").alias("__f"), F.explode(at).alias("__offer"))
+    same = F.col("__at") == F.col("__offer")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    met = open_.join(offered, same)
+    pair = {x: F.when(~F.contains(F.col("__at.mask"), F.lit(x)), F.struct(place[x].alias("key"), F.col("__f")[x].alias("value"))) for x in "spo"}
+    agree = F.lit(True)
+    for x, y in ("sp", "so", "po"):  # a variable twice in one premise
+        agree &= F.coalesce((pair[x]["key"] != pair[y]["key"]) | (pair[x]["value"] == pair[y]["value"]), F.lit(True))
+    fresh = F.map_from_entries(F.array_distinct(F.array_compact(F.array(*pair.values()))))
+    met = met.where(agree).withColumn("__b", F.map_concat("__b", fresh))
+    return done.unionByName(met.select(*done.columns))
+
+
+def fired(rules: DataFrame, new: DataFrame, full: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, s, p, o): what rules that are rows derive with at least one fact of ``new``. rules: by, premise, conclusion.
+
+    by: columns that keep quoted graphs apart. A rule without premises fires always. Conclusions with an unbound
+    variable give nothing. Premises are solved from the new fact on, in the order of the body to both sides.
+    """
+    by = by or []
+    variable = lambda x: F.when(x.startswith("?"), x).otherwise("")
+    kinds = F.transform("premise", lambda t: F.array(*[variable(t[x]) for x in "spo"]))
+    shapes = [r[0] for r in rules.select(kinds).distinct().collect()]  # how rules are built: variables and where constants are
+    most = max([1, *map(len, shapes)])
+    masks = {(f, k): sorted({_masks(x, _order(f, most)[:i], k) for x in shapes if max(f, k) < len(x)}) for f in range(most) for i, k in enumerate(_order(f, most))}
+    out = None
+    for fresh in range(most):
+        b = rules.select(*by, "premise", "conclusion", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("__b"))
+        b = b.where(F.size("premise") > fresh) if fresh else b
+        for k in _order(fresh, most):
+            if masks[fresh, k]:
+                b = _solved(b, new if k == fresh else full, k, masks[fresh, k], by)
+        heads = b.select(*by, "__b", F.inline("conclusion"))
+        place = lambda x: F.when(F.col(x).startswith("?"), F.try_element_at("__b", F.col(x))).otherwise(F.col(x)).alias(x)
+        found = heads.select(*by, *map(place, "spo")).where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def conclusion(df: DataFrame, key: str, graph: str, rules: str, out: str) -> DataFrame:
+    """df with the deductive closure of each row's quoted graph under its own rules (an array of ``rule`` values).
+
+    All graphs are saturated together, one relation keyed by the row. Premises may be several, with variables.
+    """
+    triples = df.select(key, F.inline(graph))
+    own = df.select(key, F.inline(rules))
+    closed = saturate(triples, lambda new, full: fired(own, new, full, [key]))
     value = closed.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("s", "p", "o"))).alias(out))
     return df.join(value, key, "left").withColumn(out, F.coalesce(out, F.array().cast(GRAPH)))
 

@@ -6,6 +6,7 @@ costs no recomputation of earlier rounds.
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 
@@ -111,20 +112,28 @@ def reach(starts: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> Dat
     return saturate(starts.select("start", F.col("start").alias("node")), step, ["start", "node"], most_rounds)
 
 
-def layers(facts: DataFrame, rules: list[list[Callable[[DataFrame], DataFrame]]], most_rounds: int = 1000) -> DataFrame:
+def layers(facts: DataFrame, rules: list[list[Callable[..., DataFrame]]], most_rounds: int = 1000) -> DataFrame:
     """Stratified rules over facts: each layer is saturated while it reads the frozen result of the layers before.
 
-    A rule takes (current, frozen) if it negates or aggregates, or (current) if it doesn't, and returns facts. Within a
-    layer rules are applied to all facts until nothing new comes; what a scoped rule doesn't find in the frozen facts
-    is false for it, whatever its own layer derives.
+    A rule returns facts and names what it reads by its parameters: ``new`` and ``full`` for a rule that joins a round's
+    new facts with all (semi-naive), ``frozen`` for one that negates or aggregates. A rule that reads frozen facts alone
+    runs once. Other names, first or alone, mean all facts of the layer so far. What a scoped rule doesn't find in the
+    frozen facts is false for it, whatever its own layer derives.
     """
-    import inspect
-
     for layer in rules:
-        frozen = facts
+        frozen, reads = facts, [list(inspect.signature(r).parameters) for r in layer]
+        first = [True]
 
-        def step(new: DataFrame, full: DataFrame, layer=layer, frozen=frozen) -> DataFrame:  # noqa: ANN001
-            return _union([(r(full, frozen) if len(inspect.signature(r).parameters) > 1 else r(full)).select(*facts.columns) for r in layer])
+        def step(new: DataFrame, full: DataFrame, layer=layer, reads=reads, frozen=frozen, first=first) -> DataFrame:  # noqa: ANN001
+            given = {"new": new, "full": full, "frozen": frozen}
+            run = [(r, names) for r, names in zip(layer, reads, strict=True) if first[0] or names != ["frozen"]]
+            first[0] = False
+            return _union([r(*[given.get(n, full) for n in names]).select(*facts.columns) for r, names in run] or [full.limit(0)])
 
         facts = saturate(facts, step, facts.columns, most_rounds)
     return facts
+
+
+def levels(facts: DataFrame, rules: dict[int, list[Callable[..., DataFrame]]], most_rounds: int = 1000) -> DataFrame:
+    """Scopes with levels: a rule of level n fires when all lower levels are saturated, and reads them as ``frozen``."""
+    return layers(facts, [rules[n] for n in sorted(rules)], most_rounds)
