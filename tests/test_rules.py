@@ -5,7 +5,7 @@ import random
 import pytest
 
 from trellisq.operators.patterns import Var, as_of, body, head, match, range_join
-from trellisq.operators.rules import Builtins, FuseError, fuse, graph, promote
+from trellisq.operators.rules import Builtins, fired, fuse, FuseError, graph, implied_by, implies, promote, rule, same_as
 from trellisq.operators.scoped import collect_all_in, for_all_in, not_includes
 from trellisq.plans.fixpoint import NotSettled, closure, layers, reach, saturate
 from trellisq.sources import messages, triples
@@ -174,3 +174,43 @@ def test_content_of_files(spark, tmp_path):
     (tmp_path / "a.n3").write_text("x\ny")
     rows = spark.createDataFrame([(str(tmp_path / "a.n3"), 1)], "path string, k int")
     assert [tuple(r) for r in triples.content(spark, rows).select("k", "content").collect()] == [(1, "x\ny")]
+
+
+def test_rules_with_several_premises(spark):
+    f = spark.createDataFrame([("a", "p", "b"), ("b", "p", "c"), ("c", "p", "c"), ("b", "is", "x")], "s string, p string, o string")
+    rules = spark.range(1).select(F.inline(F.array(
+        rule([("?x", "p", "?y"), ("?y", "p", "?z")], [("?x", "q", "?z")]), rule([("?x", "q", "?x")], [("?x", "is", "loop")]), rule([], [("always", "is", "so")]),
+        rule([("?s", "?how", "x")], [("?s", "?how", "y"), ("?s", "lacks", "?nothing")]),
+    )))
+    got = pairs(saturate(f, lambda new, full: fired(rules, new, full)).join(f, ["s", "p", "o"], "left_anti"))
+    assert got == sorted([("a", "q", "c"), ("b", "q", "c"), ("c", "q", "c"), ("c", "is", "loop"), ("always", "is", "so"), ("b", "is", "y")])
+    assert implies(rules).count() == implied_by(rules).count() == 4
+
+
+def test_list_patterns_and_equal_objects(spark):
+    f = spark.createDataFrame([(["a", "b", "a"], "r", "z"), (["a", "b"], "r", "z"), (["a", "c", "d"], "r", "z")], "s array<string>, p string, o string")
+    assert pairs(match(f, (Var("x"), "b", Var("x")), "r", Var("y"))) == [("a", "z")]
+    facts = spark.createDataFrame([("x", "p", "a")], "s string, p string, o string")
+    same = spark.createDataFrame([("a", "b"), ("x", "y")], "a string, b string")
+    assert len(pairs(same_as(facts, same, objects=True))) == 4
+
+
+def test_a_hot_predicate_and_a_hot_stream_are_dealt(spark, tmp_path, monkeypatch):
+    f = spark.range(2000).selectExpr("string(id) AS s", "if(id < 1900, 'type', 'rare') AS p", "'o' AS o")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one task
+    triples.save(f, str(tmp_path / "store"), rows=200)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "store/kind=explicit/p=type").glob("*.parquet"))) > 1 and triples.load(spark, str(tmp_path / "store")).count() == 2000
+    monkeypatch.setattr(messages, "BLOCK", 50)
+    log = spark.range(1000).selectExpr("'s' AS stream", "id AS line_no", "if(id % 4 = 3, 'MESSAGE # more', string(id)) AS value")
+    got = messages.envelopes(log).orderBy("offset").collect()
+    assert [r["offset"] for r in got] == list(range(1, 252)) and got[100]["payload"] == ["400", "401", "402"] and got[-1]["next_offset"] is None and got[5]["next_offset"] == 7
+
+
+def test_text_logs_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.log").write_text("one\nMESSAGE\ntwo\nthree\n")
+    (tmp_path / "in/b.log").write_text("VERSION '1.2'\nMESSAGE # first is empty\nfour")
+    streams.run_each(streams.text_messages(spark, str(tmp_path / "in")), messages.envelopes, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = sorted((r["stream"], r["offset"], r["payload"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a.log", 1, ["one"]), ("a.log", 2, ["two", "three"]), ("b.log", 2, ["four"])]
