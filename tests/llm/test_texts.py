@@ -274,3 +274,48 @@ def test_sniffing_corrects_types_and_carves(spark):
     assert [got[i]["actual_type"] for i in range(len(files))] == list(files) and [got[i]["corrected"] for i in range(len(files))] == [k != "image/png" for k in files]
     assert got[90]["actual_type"] is None and got[91]["actual_type"] == "application/octet-stream" and got[92]["actual_type"] == "text/plain" and not got[92]["corrected"]
     assert [tuple(c) for c in got[93]["carved"]] == [("image/png", 1, len(files["image/png"]))]
+
+
+def test_credentials_of_another_kind_are_found():
+    """Forms and contexts that training never met; the network is trained without any document here."""
+    import base64
+
+    items = [(t, a, z, a, z if label else a) for t, a, z, label in secrets_scan.generated(3000)] + secrets_scan.generated_long(2000)
+    random.Random(3).shuffle(items)
+    net, held = secrets_scan.Network(), items[3750:]
+    net.train(*secrets_scan.labelled_windows(items[:3750]))
+    net.calibrate(net.best([x[:3] for x in held]), np.array([x[4] > x[3] for x in held], np.float32))
+    r, letters = random.Random(99), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
+    web = lambda n: base64.urlsafe_b64encode(r.randbytes(n)).decode().rstrip("=")
+    forms = (
+        lambda: f"eyJ{web(24)}.eyJ{web(60)}.{web(32)}", lambda: "AIza" + "".join(r.choice(letters) for _ in range(35)), lambda: f"SG.{web(16)}.{web(32)}", lambda: base64.b32encode(r.randbytes(20)).decode(),
+        lambda: r.randbytes(20).hex().upper(), lambda: "xoxp-" + "-".join(str(r.randrange(10**11, 10**12)) for _ in range(3)) + "-" + r.randbytes(16).hex(), lambda: base64.b64encode(r.randbytes(64)).decode(),
+    )
+    found = 0
+    for i in range(350):
+        before, key = r.choice(["export KEY=", "Authorization: Bearer ", "the value is ", "<add key='x' value='", "url?sig=", "\n", "id: "]), forms[i % 7]()
+        spans = secrets_scan.spans_of([before + key + r.choice(["\n", " please rotate", "'/>", "&x=1", "", " # prod"])], net)[0]
+        found += any(a < len(before) + len(key) and z > len(before) for _, a, z in spans)
+    assert found >= 0.9 * 350
+
+
+def test_many_beginnings_of_files_take_linear_time():
+    sniff = media.sniffer()
+    for piece in (b"%PDF-1", b"PK\x03\x04", b"GIF89a", b"%PDF-1 startxref "):
+        assert sniff(piece * 50_000) == []
+    pdf = b"%PDF-1.4 x startxref 9 %%EOF"
+    assert sniff(b"??" + pdf) == [("application/pdf", 2, 2 + len(pdf))]
+
+
+def test_texts_of_many_megabytes(spark):
+    text = "word " * 600_000 + "x" * 2_000_000
+    docs = frame(spark, [(1, text), (2, "short")])
+    got = {r["doc_id"]: r["n_words"] for r in quality_rules.apply(docs, keep=["doc_id"]).collect()}
+    assert got == {1: 600_001, 2: 1}
+    assert {r["doc_id"]: r["round_trip"] for r in sentencepiece_codec.encode_digest(docs, keep=["doc_id"]).collect()} == {1: True, 2: True}
+
+
+def test_clashing_names_whatever_their_case(spark, odd):
+    docs = odd.withColumn("Kept", F.lit(1)).withColumn("N_WORDS", F.lit(2)).withColumn("__text", F.lit("mine"))
+    out = quality_rules.apply(docs)
+    assert {"Kept", "N_WORDS"}.isdisjoint(out.columns) and {r["__text"] for r in out.collect()} == {"mine"} and out.where("kept").count() >= 0

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,19 +110,42 @@ def bmp_end(b: bytes, at: int) -> int | None:
     return at + size if zero == 0 and dib in (12, 40, 52, 56, 108, 124) and 14 + dib <= start <= size and at + size <= len(b) else None
 
 
-def pdf_end(b: bytes, at: int) -> int | None:
-    end = b.rfind(b"%%EOF", at)
-    return None if end < 0 or not b[at + 5 : at + 6].isdigit() or b.find(b"startxref", at, end) < 0 else end + 5
+class Marks:
+    """Where the ends of PDF and ZIP files are in some bytes: looked up once, whatever the number of beginnings."""
 
+    def __init__(self, b: bytes):
+        self.b = b
 
-def zip_end(b: bytes, at: int) -> int | None:
-    p = at
-    while (p := b.find(b"PK\x05\x06", p)) >= 0 and p + 22 <= len(b):
-        size, offset, note = struct.unpack_from("<IIH", b, p + 12)
-        if at + offset + size == p and b[at + offset : at + offset + 4] == b"PK\x01\x02" and p + 22 + note <= len(b):
-            return p + 22 + note
-        p += 4
-    return None
+    @cached_property
+    def last_eof(self) -> int:
+        return self.b.rfind(b"%%EOF")
+
+    @cached_property
+    def last_startxref(self) -> int:
+        return self.b.rfind(b"startxref", 0, max(0, self.last_eof))
+
+    def pdf_end(self, at: int) -> int | None:
+        return self.last_eof + 5 if self.b[at + 5 : at + 6].isdigit() and self.last_startxref >= at else None
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """The end of each ZIP file by its start, as its directory's end record tells."""
+        b, out, p = self.b, {}, 0
+        while (p := b.find(b"PK\x05\x06", p)) >= 0 and p + 22 <= len(b):
+            size, offset, note = struct.unpack_from("<IIH", b, p + 12)
+            at = p - offset - size
+            if at >= 0 and b[at + offset : at + offset + 4] == b"PK\x01\x02" and p + 22 + note <= len(b):
+                out.setdefault(at, p + 22 + note)
+            p += 4
+        return out
+
+
+def pdf_end(b: bytes, at: int, marks: Marks) -> int | None:
+    return marks.pdf_end(at)
+
+
+def zip_end(b: bytes, at: int, marks: Marks) -> int | None:
+    return marks.zip_ends.get(at)
 
 
 def gzip_end(b: bytes, at: int) -> int | None:
@@ -139,9 +163,9 @@ def gzip_end(b: bytes, at: int) -> int | None:
 
 
 ENDS = {
-    "audio/wav": wav_end, "image/png": png_end, "image/gif": gif_end, "image/jpeg": jpeg_end, "image/bmp": bmp_end,
-    "application/pdf": pdf_end, "application/zip": zip_end, "application/gzip": gzip_end,
+    "audio/wav": wav_end, "image/png": png_end, "image/gif": gif_end, "image/jpeg": jpeg_end, "image/bmp": bmp_end, "application/gzip": gzip_end,
 }
+MARKED_ENDS = {"application/pdf": pdf_end, "application/zip": zip_end}
 
 
 def sniffer():
@@ -154,10 +178,13 @@ def sniffer():
     finder.make_automaton()
 
     def sniff(b: bytes) -> list[tuple[str, int, int]]:
-        found, until = [], 0
+        found, until, marks = [], 0, Marks(b)
         for last, (_, back, kind) in finder.iter(b.decode("latin-1")):
             start = last - back
-            if start >= until and (end := ENDS[kind](b, start)) is not None:
+            if start < until:
+                continue
+            end = ENDS[kind](b, start) if kind in ENDS else MARKED_ENDS[kind](b, start, marks)
+            if end is not None:
                 found.append((kind, start, end))
                 until = end
         return found

@@ -59,8 +59,8 @@ def assign(docs: DataFrame, key: str = "doc_id", n_shards: int = SHARDS, slots:
 
 
 def write(docs: DataFrame, path: str, key: str = "doc_id", n_shards: int = SHARDS, slots: int = SLOTS, rows_per_file: int = 1_000_000) -> None:
-    """Writes one folder for each shard. A shard's rows are split over its files by a hash, so that a hot key isn't one task."""
+    """Writes one folder for each shard. A shard's rows are split over its files by a hash of the row, so that a hot key isn't one task and a task that runs again writes the same."""
     placed = assign(docs, key, n_shards, slots)
     heavy = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("__files"))
-    salted = placed.join(F.broadcast(heavy), "shard").withColumn("__file", F.floor(F.rand(7) * F.col("__files")))
+    salted = placed.join(F.broadcast(heavy), "shard").withColumn("__file", F.pmod(F.xxhash64(*[f"`{c}`" for c in placed.columns]), F.col("__files")))
     salted.repartition("shard", "__file").drop("__files", "__file").write.partitionBy("shard").mode("overwrite").parquet(path)
