@@ -31,6 +31,8 @@ MARK = "▁"
 PIECES = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words whose ids a worker remembers at most, beside those of one batch: so many of late, and so many from before.
 KNOWN_WORDS = 110_000
+#: New words that are encoded as one string.
+JOINED = 100
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -152,7 +154,7 @@ class Codec:
         self.word_tokenizer, self.known, self.before = T.Tokenizer(core), {}, {}
         if self.by_word:
             t.pre_tokenizer = T.pre_tokenizers.Split(T.Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-        self.first_byte = vocab.get("<0x00>", -1)
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in m.pieces], bool)
         self.bytes = {i: int(p[3:5], 16) for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
         self.text = {i: p.replace(MARK, " ").encode() for i, (p, _, kind) in enumerate(m.pieces) if kind in (NORMAL, USER)}
         self.text |= {i: bytes([b]) for i, b in self.bytes.items()} | {m.unk_id: " ⁇ ".encode()}
@@ -181,20 +183,40 @@ class Codec:
             known = self.known
         new = {w for words in split for w in words if w not in known}
         known.update({w: self.before[w] for w in new if w in self.before})
-        new = list(new.difference(self.before))
-        found = [e.ids for e in self.word_tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        if self.check is not None:
-            plain = [(w[1:] if self.model.dummy_prefix and w[0] == MARK else w).replace(MARK, " ") for w in new]
-            checked = self.check.encode(plain, num_threads=1)
-            if "" in plain:  # a marker alone, at a text's end: an empty text wouldn't get it
-                checked[plain.index("")] = self.check.encode("a ")[len(self.check.encode("a")) :]
-            self.wrong.update(w for w, ids, other in zip(new, found, checked, strict=True) if ids != other)
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) * 4).tolist()
-        packed = np.fromiter(chain.from_iterable(found), "<i4").tobytes()
-        known.update(zip(new, map(packed.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        new = new.difference(self.before)
+        plain = [w for w in new if len(w) > 1 and w[0] == MARK != w[1]]
+        self._learn([plain[i : i + JOINED] for i in range(0, len(plain), JOINED)])
+        self._learn([[w] for w in new.difference(plain)])
         ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
         return ids, [not self.wrong or self.wrong.isdisjoint(words) for words in split]
 
+    def _learn(self, groups: list[list[str]]) -> None:
+        """Encodes groups of words, each as one string, and remembers the words' ids. In groups of several, words have one marker each.
+
+        A piece with a marker begins a word there, so the ids of a string fall apart into those of its words.
+        """
+        found = [np.array(e.ids, "<i4") for e in self.word_tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)]
+        for words, ids in zip(groups, found, strict=True):
+            cuts = np.flatnonzero(self.begins[ids]) if len(words) > 1 else np.zeros(1, np.int64)
+            same = self.check is None or self._same(words, ids)
+            if len(words) > 1 and (not same or len(cuts) != len(words)):
+                self._learn([[w] for w in words])
+                continue
+            packed, ends = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
+            self.known.update(zip(words, map(packed.__getitem__, map(slice, ends, ends[1:])), strict=True))
+
+    def _same(self, words: list[str], ids: np.ndarray) -> bool:
+        """Whether the library gives the same ids for these words; a word alone for which it doesn't is noted."""
+        text = "".join(words)
+        text = (text[1:] if self.model.dummy_prefix and text[0] == MARK else text).replace(MARK, " ")
+        # a marker alone is what a space at a text's end becomes; an empty text wouldn't get it
+        other = self.check.encode(text) if text else self.check.encode("a ")[len(self.check.encode("a")) :]
+        if other == ids.tolist():
+            return True
+        if len(words) == 1:
+            self.wrong.add(words[0])
+        return False
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; control pieces give nothing, and the space that the dummy prefix gave goes."""
         get = self.text.get
