@@ -214,3 +214,8 @@ def test_text_logs_as_a_stream(spark, tmp_path):
     streams.run_each(streams.text_messages(spark, str(tmp_path / "in")), messages.envelopes, str(tmp_path / "out"), str(tmp_path / "state"))
     got = sorted((r["stream"], r["offset"], r["payload"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("a.log", 1, ["one"]), ("a.log", 2, ["two", "three"]), ("b.log", 2, ["four"])]
+
+
+def test_facts_one_by_one(spark):
+    f = spark.createDataFrame([("a", "p", "b"), ("c", "p", "d")], "s string, p string, o string")
+    assert sorted(triples.rows(f)) == [("a", "p", "b"), ("c", "p", "d")]

@@ -72,3 +72,9 @@ BUILTINS = {
     "log:skolem": skolem,
     "log:conjunction": lambda *graphs: F.array_distinct(F.flatten(F.array(*map(col, graphs)))),
 }
+#: For a bound result: a literal's text and datatype (plain text is a string), or its text and language tag; null for other terms.
+INVERSES = {
+    "log:dtlit": lambda t: F.when((col(t)["kind"] == "L") & (col(t)["lang"] == ""), F.struct(col(t)["lex"].alias("lex"), F.when(col(t)["dt"] == "", f"{XSD}string").otherwise(col(t)["dt"]).alias("dt"))),
+    "log:langlit": lambda t: F.when((col(t)["kind"] == "L") & (col(t)["lang"] != ""), F.struct(col(t)["lex"].alias("lex"), col(t)["lang"].alias("lang"))),
+    "log:uri": text_uri,
+}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.logic import skolem
-from ..plans.fixpoint import saturate
+from ..plans.fixpoint import reach, saturate
 
 GRAPH = "array<struct<s: string, p: string, o: string>>"
 
@@ -186,7 +186,7 @@ def promote(facts: DataFrame, most_rounds: int = 100) -> DataFrame:
 
 
 def proved(bindings: DataFrame, rule: str, premises: list[tuple], conclusion: tuple) -> DataFrame:
-    """Facts of a rule's head with why they hold: rule and premises, an array of facts as text; one proof for each fact.
+    """Facts of a rule's head with why they hold: rule, premises (facts as text) and bindings (variables' values as text); one proof for each fact.
 
     premises and conclusion are triples of columns (Var) and constants. Of several proofs the least one stays, so that
     reruns agree.
@@ -195,9 +195,22 @@ def proved(bindings: DataFrame, rule: str, premises: list[tuple], conclusion: tu
 
     place = lambda x: F.col(x) if isinstance(x, Var) else F.lit(x)
     text = lambda t: F.concat_ws(" ", *[place(x).cast("string") for x in t])
+    used = sorted({str(x) for t in [*premises, conclusion] for x in t if isinstance(x, Var)})
     s, p, o = (place(x).cast("string") for x in conclusion)
-    rows = bindings.select(s.alias("s"), p.alias("p"), o.alias("o"), F.lit(rule).alias("rule"), F.array(*map(text, premises)).alias("premises"))
-    return rows.groupBy("s", "p", "o").agg(F.min(F.struct("rule", "premises")).alias("why")).select("s", "p", "o", "why.rule", "why.premises")
+    values = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("value")) for v in used])
+    rows = bindings.select(s.alias("s"), p.alias("p"), o.alias("o"), F.struct(F.lit(rule).alias("rule"), F.array(*map(text, premises)).alias("premises"), values.alias("bindings")).alias("why"))
+    return rows.groupBy("s", "p", "o").agg(F.min("why").alias("why")).select("s", "p", "o", "why.rule", "why.premises", "why.bindings")
+
+
+def proof_chains(goals: DataFrame, proofs: DataFrame) -> DataFrame:
+    """(goal, fact, rule): every fact that the goals' proofs rest on, as text, with the rule that gave it; rule is null for what was asserted.
+
+    goals: column goal, facts as text 's p o'. proofs: what ``proved`` gives for all rules together.
+    """
+    of = proofs.select(F.concat_ws(" ", "s", "p", "o").alias("s"), "rule", "premises")
+    steps = reach(goals.select(F.col("goal").alias("start")).distinct(), of.select("s", F.explode("premises").alias("o")).distinct())
+    least = of.groupBy("s").agg(F.min("rule").alias("rule"))
+    return steps.join(least, F.col("node") == F.col("s"), "left").select(F.col("start").alias("goal"), F.col("node").alias("fact"), "rule")
 
 
 def project(facts: DataFrame, *columns) -> DataFrame:  # noqa: ANN002

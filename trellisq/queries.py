@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .functions import BUILTINS, datatypes, lists, maths, solve, strings, times
-from .functions.logic import known_key, skolem, term, text_uri, unify_key
+from .functions.logic import INVERSES, known_key, skolem, term, text_uri, unify_key
 from .operators.patterns import ALLEN, Var, allen, as_of, body, column_facts, head, match, range_join
-from .operators.rules import FuseError, asserted, conclusion, conjunction, existential, fired, fuse, graph, graph_includes, implied_by, implies, patch, project, promote, proved, rule, same_as, trace
+from .operators.rules import FuseError, asserted, conclusion, conjunction, existential, fired, fuse, graph, graph_includes, implied_by, implies, patch, project, promote, proof_chains, proved, rule, same_as, trace
 from .operators.scoped import aggregate_in, collect_all_in, for_all_in, includes, not_includes
 from .plans.fixpoint import closure, layers, levels, reach, saturate
 from .sources import messages, triples
@@ -658,6 +658,28 @@ def proof_of_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("s", "p", "o", "rule", F.col("premises")[0].alias("first_premise"))
 
 
+@query("""SELECT 's' || s_suppkey || ' serves ' || r_name AS goal, fact, rule FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey,
+(VALUES (0), (1), (2), (3)) x(k), LATERAL (SELECT CASE k WHEN 0 THEN 's' || s_suppkey || ' serves ' || r_name WHEN 1 THEN 's' || s_suppkey || ' lies ' || r_name WHEN 2 THEN 's' || s_suppkey || ' in ' || n_name ELSE n_name || ' of ' || r_name END AS fact,
+CASE k WHEN 0 THEN 'r2' WHEN 1 THEN 'r1' END AS rule)""")
+def proof_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of proofs: all facts that a derived fact rests on, down to what was asserted."""
+    n = t(spark, sf_dir, "nation").join(F.broadcast(t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    g = t(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey").alias("x"), F.col("n_name").alias("y"), F.col("r_name").alias("z"))
+    lies = proved(g, "r1", [(Var("x"), "in", Var("y")), (Var("y"), "of", Var("z"))], (Var("x"), "lies", Var("z")))
+    serves = proved(g, "r2", [(Var("x"), "lies", Var("z"))], (Var("x"), "serves", Var("z")))
+    return proof_chains(serves.select(F.concat_ws(" ", "s", "p", "o").alias("goal")), lies.unionByName(serves))
+
+
+@query("""SELECT p_partkey, p_name AS lex, CASE WHEN p_size % 2 = 0 THEN 'http://www.w3.org/2001/XMLSchema#string' ELSE 'urn:kind' END AS dt FROM part WHERE p_size % 3 <> 0""")
+def literal_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log:dtlit with a bound result: literals without a tag come apart, plain ones as strings; others have no solution."""
+    p = t(spark, sf_dir, "part")
+    plain, typed = term("L", "p_name"), term("L", "p_name", F.lit("urn:kind"))
+    p = p.withColumn("t", F.when(F.col("p_size") % 3 == 0, term("L", "p_name", None, F.lit("en"))).when(F.col("p_size") % 2 == 0, plain).otherwise(typed))
+    got = p.withColumn("parts", INVERSES["log:dtlit"]("t")).where("parts IS NOT NULL")
+    return got.select("p_partkey", "parts.lex", "parts.dt")
+
+
 # User functions
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,11 @@ def load(spark: SparkSession, path: str, s: str | None = None, p: str | None = N
     return out.select("s", "p", "o", "kind")
 
 
+def rows(facts: DataFrame) -> Iterator[tuple]:
+    """Facts one by one on the driver, a partition at a time, for a program that consumes them as they come."""
+    return (tuple(r) for r in facts.toLocalIterator(prefetchPartitions=True))
+
+
 def derived(facts: DataFrame, asserted: DataFrame) -> DataFrame:
     """What saturation added: the facts that weren't asserted."""
     return facts.join(asserted, ["s", "p", "o"], "left_anti")
