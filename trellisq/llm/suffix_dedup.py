@@ -40,7 +40,10 @@ LENGTH, WINDOW, BLOCK, GRAM = 400, 145, 16, 8
 #: Bytes from an anchor on that are in the strings of all its starts, and how far behind it a window may start there.
 CORE = LENGTH - WINDOW + 1
 REACH = CORE - GRAM + 1 - WINDOW
-#: The same for passages, in words.
+#: Chunks that ranks are made for at most, of the two or three that CORE bytes usually hold: of periodic text, where every
+#: position is an anchor, the hash of the CORE bytes tells the rest. So three rounds do, whatever the texts.
+RUN = 7
+#: LENGTH, WINDOW and GRAM for passages, in words.
 PASSAGE, WORD_WINDOW, WORD_GRAM = 51, 32, 4
 #: Starts of a text that are worked on at once; very long texts are read piece by piece, short ones together up to so many bytes or words.
 PIECE, TOGETHER = 1 << 20, 1 << 18
@@ -166,7 +169,7 @@ def chunks(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         names[whole] = _mix(h.of(every[whole], width + GRAM) ^ (width.astype(np.uint64) * _M1))
         n[whole] = 0
         at = np.searchsorted(every, p)
-        n[at] = np.searchsorted(every, m[p + REACH]) - at
+        n[at] = np.minimum(np.searchsorted(every, m[p + REACH]) - at, RUN)
         yield row[of], names, n
 
 
