@@ -37,7 +37,7 @@ HASHES = 2 * ROOT * PER_KEY
 #: Share of equal minhashes from which a node is joined to a leader, and from which it isn't a leader itself.
 ATTACH, COVER = 0.3, 0.85
 #: The same for two leaders of one wide bucket, which none covers: copies of theirs at 0.75 leave them 0.45 alike at least.
-LEADERS = 0.2
+LEADERS = 0.25
 #: Nodes and shingles that one task compares at most; nodes of one bucket that are led together.
 CHUNK, SHINGLES, BUCKET = 1500, 1_000_000, 1000
 #: Words whose hashes a task remembers at most, beside those of one text.
@@ -357,13 +357,13 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     cluster = cut_lineage(clusters(nodes).join(nodes.select("node", "doc_id", "n_shingles"), "node"))
     size = cluster.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("n_shingles") / SHINGLES)).alias("chunks"))
     dealt = cluster.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # sets are shipped once to their chunk; the few wide clusters' sets are kept for what follows
-    sets = _with_sets(docs, dealt.select("node", "doc_id", "component", "chunk", "chunks")).withColumn("comp", F.col("node"))
-    found = cut_lineage(_linked(sets, ["component", "chunk"]))
-    wide = cut_lineage(dealt.where("chunks > 1").select("node", "doc_id", "component", "chunk"))
+    # texts are dealt once, to those that are in a cluster; their sets are written, for their chunk and for what follows
+    sets = cut_lineage(_with_sets(docs, dealt.select("node", "doc_id", "component", "chunk", "chunks")))
+    found = cut_lineage(_linked(sets.withColumn("comp", F.col("node")), ["component", "chunk"]))
+    sets = sets.where("chunks > 1")
+    wide = cut_lineage(sets.select("node", "component", "chunk"))
     if wide.isEmpty():
         return found
-    sets = cut_lineage(_with_sets(docs, wide))
 
     def labelled(found: DataFrame) -> DataFrame:
         known = components(found.join(wide.select(F.col("node").alias("a")), "a", "left_semi"))
