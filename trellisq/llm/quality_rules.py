@@ -140,8 +140,9 @@ def apply(docs: DataFrame, rules=RULES, sample: int = SAMPLE, keep: list[str] |
     The order of the rules is estimated on the ``sample`` rows whose hashes are least; all rows are judged, by their whole texts. Null and empty
     texts have no words and fail the base. first_rule: the rule that ended the cascade, null for a kept document.
     """
-    by = F.xxhash64(*[c for c in docs.columns if c == "doc_id"], "text")
-    texts = [r[0] or "" for r in docs.select("text", by.alias("h")).orderBy("h").limit(sample).collect()]
+    hashed = docs.select("text", F.xxhash64(*[c for c in docs.columns if c == "doc_id"], "text").alias("h"))
+    least = hashed.select("h").distinct().orderBy("h").limit(sample)  # hashes alone; their texts are fetched after that
+    texts = [r[1] or "" for r in hashed.join(F.broadcast(least), "h").groupBy("h").agg(F.first("text").alias("text")).orderBy("h").collect()]
     names = [name for name, _, _ in order(texts, rules)]
 
     def make():
