@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, number
 
 
 def append(*xs) -> Column:  # noqa: ANN002
@@ -44,7 +44,7 @@ def sort(xs) -> Column:  # noqa: ANN001
     """By number where both elements are numbers, else by text."""
 
     def compare(a: Column, b: Column) -> Column:
-        x, y = a.try_cast("double"), b.try_cast("double")
+        x, y = number(a), number(b)
         by_number = F.when(x < y, -1).when(x > y, 1).otherwise(0)
         return F.when(x.isNotNull() & y.isNotNull(), by_number).when(a < b, -1).when(a > b, 1).otherwise(0)
 

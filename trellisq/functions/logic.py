@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, number
 from .datatypes import INTEGERS, canonical
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -25,7 +25,7 @@ def term(kind: str, lex, dt=None, lang=None) -> Column:  # noqa: ANN001
 def _literal_key(t: Column, by_value: bool) -> Column:
     dt = F.when(t["dt"].isin("", f"{XSD}string"), F.lit("string")).when(t["dt"].isin(*[XSD + i for i in INTEGERS]), F.lit("integer")).otherwise(t["dt"])
     value = F.when(dt == "integer", F.coalesce(canonical(t["lex"], "integer"), t["lex"])).when(t["dt"] == f"{XSD}decimal", F.coalesce(canonical(t["lex"], "decimal"), t["lex"]))
-    value = value.when(t["dt"].isin(f"{XSD}double", f"{XSD}float"), F.coalesce(t["lex"].try_cast("double").cast("string"), t["lex"]))
+    value = value.when(t["dt"].isin(f"{XSD}double", f"{XSD}float"), F.coalesce(number(t["lex"]).cast("string"), t["lex"]))
     if by_value:
         value = value.when(t["dt"] == f"{XSD}boolean", F.coalesce(canonical(t["lex"], "boolean"), t["lex"]))
     return F.concat_ws("|", F.lit("L"), dt, F.lower(t["lang"]), value.otherwise(t["lex"]))

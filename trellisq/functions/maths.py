@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, number
 
 #: Days of a mean year and month, for durations in seconds.
 YEAR_DAYS, MONTH_DAYS = 365.2425, 30.436875
@@ -25,7 +25,7 @@ def finite(x: Column) -> Column:
 
 
 def real(x) -> Column:  # noqa: ANN001
-    return col(x).try_cast("double")
+    return number(x)
 
 
 INTEGER = "decimal(38,0)"
@@ -92,13 +92,17 @@ def exponent(base, result) -> Column:  # noqa: ANN001
 def duration_seconds(text) -> Column:  # noqa: ANN001
     """Seconds of an ISO 8601 duration such as P1Y2M3DT4H5M6.5S or P2W; null if it isn't one."""
     t = col(text)
-    part = lambda p: F.coalesce(F.regexp_extract(t, p, 1).try_cast("double"), F.lit(0.0))
     n = r"(\d+(?:\.\d+)?)"
-    date = part(rf"^-?P[^T]*?{n}Y") * YEAR_DAYS + part(rf"^-?P[^T]*?{n}M") * MONTH_DAYS + part(rf"^-?P[^T]*?{n}W") * 7 + part(rf"^-?P[^T]*?{n}D")
-    time = part(rf"T.*?{n}H") * 3600 + part(rf"T.*?{n}M") * 60 + part(rf"T.*?{n}S")
-    sign = F.when(t.startswith("-"), -1.0).otherwise(1.0)
-    valid = t.rlike(rf"^-?P(?=.)({n}Y)?({n}M)?({n}W)?({n}D)?(T(?=.)({n}H)?({n}M)?({n}S)?)?$")
-    return F.when(valid, sign * (date * 86400 + time))
+    form = rf"^-?P(?=.)(?:{n}Y)?(?:{n}M)?(?:{n}W)?(?:{n}D)?(?:T(?=.)(?:{n}H)?(?:{n}M)?(?:{n}S)?)?$"
+    parts = F.split(F.regexp_replace(t, form[:-1] + r"\R?$", ";".join(f"0${k}" for k in range(1, 8))), ";")  # an absent part is 0
+
+    def total(p: Column) -> Column:
+        y, m, w, d, hours, minutes, seconds = (p[k].try_cast("double") for k in range(7))
+        date = y * YEAR_DAYS + m * MONTH_DAYS + w * 7 + d
+        return F.when(t.startswith("-"), -1.0).otherwise(1.0) * (date * 86400 + (hours * 3600 + minutes * 60 + seconds))
+
+    # in a lambda the text is taken apart once, and the row's compiled code stays small enough for the JVM's compiler
+    return F.when(t.rlike(form), F.transform(F.array(parts), total)[0])
 
 
 def date_difference(a, b) -> Column:  # noqa: ANN001
@@ -128,7 +132,7 @@ def moved(x, by, sign: int = 1) -> Column:  # noqa: ANN001
 def magnitude(x) -> Column:  # noqa: ANN001
     """A number, a duration's seconds, or a date's or dateTime's moment, whichever x is."""
     text = col(x).cast("string")
-    return F.coalesce(text.try_cast("double"), duration_seconds(text), moment(x))
+    return F.coalesce(number(text), duration_seconds(text), moment(x))
 
 
 def near(bound, computed) -> Column:  # noqa: ANN001

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, number
 
 
 def _test(op):  # noqa: ANN001, ANN202
@@ -91,7 +91,7 @@ def formatted(pattern: str, *args) -> Column:  # noqa: ANN002
     java = re.sub(r"(%[-0]*\d*(?:\.\d+)?)([iuF])", lambda m: m[1] + {"i": "d", "u": "d", "F": "f"}[m[2]], pattern)
     types = {"s": "string", "c": "string", "d": "long", "i": "long", "u": "long"} | dict.fromkeys("fFeEgG", "double")
     java = re.sub(r"(%[-0]*\d*)c", r"\1.1s", java)
-    cast = [col(a).try_cast(types[k]) for a, k in zip(args, kinds, strict=False)]
+    cast = [number(a) if types[k] == "double" else col(a).try_cast(types[k]) for a, k in zip(args, kinds, strict=False)]
     parts = [m for m in re.finditer(r"%(?:%|([-0]*)(\d*)((?:\.\d+)?)([a-zA-Z]))", pattern) if m[4]]
     for k, (flags, width, digits, kind) in enumerate(m.groups() for m in parts):
         if kind in "gG":  # shortest form: no zeros at the fraction's end

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.common import number
+
 #: Fixed patterns of N-Triples and N-Quads terms.
 IRI, BLANK = r"<([^\x00-\x20<>\"{}|^`\\]*)>", r"(_:[\p{L}\p{N}_](?:[\p{L}\p{N}_.·-]*[\p{L}\p{N}_·-])?)"
 LITERAL = r'"((?:[^"\\\n\r]|\\.)*)"(?:@([a-zA-Z]+(?:-[a-zA-Z0-9]+)*)|\^\^<([^\x00-\x20<>]*)>)?'
@@ -111,6 +113,6 @@ def output_string(rows: DataFrame, key: str, value: str) -> DataFrame:
 
     One row with everything, so only for output that a person reads.
     """
-    number = F.col(key).try_cast("double")
-    order = F.struct(number.isNull().alias("__text"), number.alias("__number"), F.col(key).alias("__key"), F.col(value).alias(value))
+    by = number(key)
+    order = F.struct(by.isNull().alias("__text"), by.alias("__number"), F.col(key).alias("__key"), F.col(value).alias(value))
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x[value]), "").alias("text"))
