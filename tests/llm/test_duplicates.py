@@ -252,3 +252,22 @@ def test_odd_rows(spark, odd):
     assert suffix_dedup.dedup(odd.withColumn("n_bytes", F.lit("old"))).count() == odd.count()
     assert suffix_dedup.dedup(odd.limit(0)).count() == 0
     assert minhash_dedup.dedup(odd.limit(0)).count() == 0
+
+
+def test_repeated_texts_are_taken_apart_once(spark, monkeypatch):
+    """Before, each step computed its rows from the texts three times."""
+    seen, mapped = spark.sparkContext.accumulator(0), suffix_dedup._mapped
+
+    def counted(df, schema, rows):
+        def each(b):
+            seen.add(b.num_rows)
+            yield from rows(b)
+
+        return mapped(df, schema, each if rows is suffix_dedup._anchors else rows)
+
+    monkeypatch.setattr(suffix_dedup, "_mapped", counted)
+    r = random.Random(9)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(700))
+    texts = [f"{k} " * 50 + shared + f" {k * 7}" * 50 for k in range(12)]
+    got = suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(x["n_removed"] >= 700 for x in got) and seen.value == 12

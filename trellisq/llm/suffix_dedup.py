@@ -22,13 +22,14 @@ second hash of all CORE bytes too.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -268,7 +269,7 @@ def _gathered(parts: list[tuple], width: int) -> list:
 
 
 def _repeat(content: list, counts: list[int]) -> pa.Array:
-    return pa.array(content, pa.binary()).take(pa.array(np.repeat(np.arange(len(content)), counts)))
+    return pa.array(content, None if content else pa.int64()).take(pa.array(np.repeat(np.arange(len(content)), counts)))
 
 
 def _lists(rows: np.ndarray, values: np.ndarray, n: int, kind) -> pa.Array:  # noqa: ANN001
@@ -302,6 +303,22 @@ def _paired(i: np.ndarray, rank: np.ndarray, rows: np.ndarray, offset) -> tuple[
     return rows[ok], rank[at[ok]]
 
 
+def _kept(df: DataFrame, folder: str) -> DataFrame:
+    """df from a Parquet file in the folder: computed once, small on disk, and readers take the columns that they need."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    spark = df.sparkSession
+    del df
+    gc.collect()  # as in cut_lineage
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(path)
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _finished(k: int):  # noqa: ANN202
     """(content, place, chunks, two ranks) for the positions that two overlapping ranks of k chunks cover."""
 
@@ -351,14 +368,14 @@ def doubled(rows: DataFrame) -> DataFrame:
     rows: content, i, n (0 if only other positions need this one) and name, one row for each chunk of each distinct text;
     where equal chunks begin, n is equal.
     """
-    live, k, done = _ranked(rows, ["name"]), 1, []
+    live, k, done, kind = _ranked(rows, ["name"]), 1, [], rows.schema["content"].dataType.simpleString()
     while True:
         state = cut_lineage(live.groupBy("content").agg(F.collect_list(F.struct("i", "n", "rank")).alias("live")))
-        done.append(_mapped(state, "content binary, i int, n int, k1 long, k2 long", _finished(k)))
+        done.append(_mapped(state, f"content {kind}, i int, n int, k1 long, k2 long", _finished(k)))
         longer = state.where(F.exists("live", lambda x: x["n"] >= 2 * k))
         if longer.isEmpty():
             break
-        live = _ranked(_mapped(longer, "content binary, i int, n int, r1 long, r2 long", _pairs(k)), ["r1", "r2"])
+        live = _ranked(_mapped(longer, f"content {kind}, i int, n int, r1 long, r2 long", _pairs(k)), ["r1", "r2"])
         k *= 2
     out = done[0]
     for d in done[1:]:
@@ -366,7 +383,7 @@ def doubled(rows: DataFrame) -> DataFrame:
     return out
 
 
-_ROW = "content binary, m int, at int, lo int, hi int, k1 long, k2 long, hull long"
+_ROW = "content long, m int, at int, lo int, hi int, k1 long, k2 long, hull long"
 
 
 def _flat(lists: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
@@ -418,16 +435,20 @@ def _finer(width: int):  # noqa: ANN202
     return rows
 
 
-def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _judged(rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """(spans, todo): strings known to repeat as (content, lo, end), and the ranked rows that a longer prefix has to decide."""
-    hulls = rows.groupBy("k1", "k2", "hull").agg(F.sum("m").alias("n"), F.min(F.struct("content", "lo")).alias("one"))
+    mine = f"{folder}/{uuid.uuid4().hex}"
+    rows = _kept(rows, mine)
+    pick = F.xxhash64("content", "lo")
+    hulls = _kept(rows.groupBy("k1", "k2", "hull").agg(F.sum("m").alias("n"), F.min(pick).alias("one")), mine)
     again = hulls.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("hulls"), F.sum("n").alias("all")).where("all > 1").drop("all")
-    prefixes = cut_lineage(again.orderBy("k1", "k2").withColumn("rank", F.monotonically_increasing_id()))
+    prefixes = _kept(again.orderBy("k1", "k2").withColumn("rank", F.monotonically_increasing_id()), mine)
     # written, so that the rows are dealt by all three keys: of one hot prefix there are many hulls
-    groups = cut_lineage(hulls.join(prefixes, ["k1", "k2"]).withColumn("one", F.when((F.col("hulls") > 1) & (F.col("n") > 1), F.col("one"))))
-    told = cut_lineage(rows.join(groups, ["k1", "k2", "hull"]).select(
-        "content", "at", "lo", "hi", "rank", (F.col("n") > 1).alias("known"), ((F.col("hulls") > 1) & ((F.col("n") == 1) | (F.struct("content", "lo") == F.col("one")))).alias("open")
-    ).where("known OR open"))
+    groups = _kept(hulls.join(prefixes, ["k1", "k2"]).withColumn("one", F.when((F.col("hulls") > 1) & (F.col("n") > 1), F.col("one"))), mine)
+    told = _kept(rows.join(groups, ["k1", "k2", "hull"]).select(
+        "content", "at", "lo", "hi", "rank", (F.col("n") > 1).alias("known"), ((F.col("hulls") > 1) & ((F.col("n") == 1) | (pick == F.col("one")))).alias("open")
+    ).where("known OR open"), folder)
+    _removed(rows.sparkSession, mine)
     spans = told.where("known").select("content", "lo", (F.col("hi") + LENGTH).alias("end"))
     todo = told.where("open").groupBy("content").agg(F.collect_list(F.struct("at", "lo", "hi", "rank")).alias("todo"))
     return spans, todo
@@ -461,33 +482,34 @@ def _passages(b: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _fetched(base: DataFrame, need: DataFrame) -> DataFrame:
-    """need (content, m, id and more) with the text of each content: of the one document that has this id, hashed, and text."""
-    need = need.withColumnsRenamed({"content": "__content", "id": "__id"})
-    joined = base.join(need, (F.col("__content") == F.col("content")) & (F.col("id") == F.col("__id"))).drop("__content", "__id")
-    return joined.dropDuplicates(["content", "id"]).drop("id")
+    """need (digest, id and more) with the text of each digest: of the one document that has this id, hashed, and text."""
+    return base.join(need, ["digest", "id"]).dropDuplicates(["digest", "id"]).drop("digest", "id")
 
 
-def _passage_texts(base: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(content) of the texts that hold PASSAGE words in a row that another document holds too.
+def _cores(distinct: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(found, todo): (content) of texts that hold PASSAGE words in a row that another document holds too, and the cores of texts to compare by those.
 
     Texts that several documents have are such ones. Of the others, those are whose hull around an anchor is in two
     texts. What is left are texts that share a core but no hull: all passages around such cores are compared, with those
     of one text for each hull.
     """
     rows = distinct.where("size(cores) > 0").select("content", "m", F.explode(F.arrays_zip("cores", "hulls")).alias("x")).select("content", "m", "x.cores", "x.hulls").toDF("content", "m", "core", "hull")
-    hulls = rows.groupBy("core", "hull").agg(F.min("content").alias("a"), F.max("content").alias("z"))
+    hulls = _kept(rows.groupBy("core", "hull").agg(F.min("content").alias("a"), F.max("content").alias("z")), folder)
     cores = hulls.groupBy("core").agg(F.min("a").alias("first"), F.max("z").alias("last")).where("first <> last").select("core")
-    shared = cut_lineage(hulls.join(cores, "core").select("core", "hull", "a", (F.col("a") != F.col("z")).alias("whole")))
+    shared = _kept(hulls.join(cores, "core").select("core", "hull", "a", (F.col("a") != F.col("z")).alias("whole")), folder)
     told = rows.join(shared, ["core", "hull"]).groupBy("content").agg(F.max("whole").alias("whole"), F.max("m").alias("m"), F.collect_set("core").alias("wanted"))
-    told = cut_lineage(told)
+    told = _kept(told, folder)
     found = distinct.where("size(cores) > 0 AND m > 1").select("content").unionByName(told.where("whole AND m = 1").select("content"))
-    open_ = cut_lineage(told.where("NOT whole AND m = 1").select("content", F.explode("wanted").alias("core")))
+    open_ = told.where("NOT whole AND m = 1").select("content", F.explode("wanted").alias("core"))
     partners = shared.join(open_.select("core").distinct(), "core").select(F.col("a").alias("content"), "core")
-    todo = open_.unionByName(partners).groupBy("content").agg(F.collect_set("core").alias("wanted"))
-    texts = _fetched(base, distinct.select("content", "id").join(todo, "content")).select("content", "text", "wanted")
-    passages = cut_lineage(_mapped(texts, "content binary, core long, passage long", _passages))
+    return found, open_.unionByName(partners).groupBy("content").agg(F.collect_set("core").alias("wanted"))
+
+
+def _passage_texts(texts: DataFrame, folder: str) -> DataFrame:
+    """(content) of the texts, read with their wanted cores, that share PASSAGE words in a row around one of those."""
+    passages = _kept(_mapped(texts, "content long, core long, passage long", _passages), folder)
     again = passages.groupBy("core", "passage").agg(F.min("content").alias("a"), F.max("content").alias("z")).where("a <> z").select("core", "passage")
-    return found.unionByName(passages.join(again, ["core", "passage"]).select("content")).distinct()
+    return passages.join(again, ["core", "passage"]).select("content")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -500,34 +522,36 @@ def dedup(docs: DataFrame) -> DataFrame:
     moved: after the rounds of ranks, whole texts of those alone are shuffled, one row for each distinct text. A text
     that several rows have goes whole; it takes part in the ranks once, as a partner for others.
     """
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id"), text.alias("text")).withColumn("content", F.unhex(F.md5(F.col("text").cast("binary"))))
-    light = cut_lineage(base.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole")))
-    base = base.select(F.xxhash64("doc_id").alias("id"), "content", "text")
-    parsed = _mapped(base.select("content", F.col("id").alias("doc_id"), "text"), "content binary, id long, names array<long>, runs array<short>, cores array<long>, hulls array<long>", _parsed)
-    distinct = cut_lineage(parsed.groupBy("content").agg(F.count(F.lit(1)).cast("int").alias("m"), F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("names", "runs", "cores", "hulls"))))
-    passages = cut_lineage(_passage_texts(base, distinct).withColumn("repeats_passage", F.lit(True)))
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
+    folder = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
+    base = docs.select(F.col("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    light = cut_lineage(base.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole")))
+    base = base.select(F.xxhash64("doc_id").alias("id"), "digest", "text")
+    parsed = _mapped(base.select(F.col("digest").alias("content"), F.col("id").alias("doc_id"), "text"), "digest binary, id long, names array<long>, runs array<short>, cores array<long>, hulls array<long>", _parsed)
+    distinct = parsed.groupBy("digest").agg(F.count(F.lit(1)).cast("int").alias("m"), F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("names", "runs", "cores", "hulls")))
+    # from here on a distinct text is a number, which sorts and groups at less cost than its digest
+    distinct = _kept(distinct.withColumn("content", F.monotonically_increasing_id()), folder)
+    found, wanted = _cores(distinct, folder)
     chunk = distinct.select("content", F.posexplode(F.arrays_zip("names", "runs")).alias("i", "x")).where("x.runs >= 0")
     done = doubled(chunk.select("content", "i", F.col("x.runs").cast("int").alias("n"), F.col("x.names").alias("name")))
-    wanted = done.groupBy("content").agg(F.collect_list(F.struct("i", "n", "k1", "k2")).alias("ranks"))
-    folder = f"{shared_folder(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"
-    _fetched(base, distinct.select("content", "m", "id").join(wanted, "content")).write.option("compression", "zstd").parquet(folder)
-    texts = docs.sparkSession.read.parquet(folder)
-    spans, todo = _judged(_mapped(texts.select("content", "m", "text", "ranks"), _ROW, _anchors))
+    ranks = done.groupBy("content").agg(F.collect_list(F.struct("i", "n", "k1", "k2")).alias("ranks"))
+    texts = _kept(_fetched(base, distinct.select("digest", "id", "content", "m").join(ranks.join(wanted, "content", "full"), "content")), folder)
+    passages = found.unionByName(_passage_texts(texts.where("wanted IS NOT NULL").select("content", "text", "wanted"), folder)).distinct().withColumn("repeats_passage", F.lit(True))
+    spans, todo = _judged(_mapped(texts.where("ranks IS NOT NULL").select("content", "m", "text", "ranks"), _ROW, _anchors), folder)
     every = spans
     for width in (BLOCK, 1):
-        finer = texts.select("content", "m", "text").join(todo, "content").select("content", "m", "text", "todo")
-        spans, todo = _judged(_mapped(finer, _ROW, _finer(width)))
+        finer = texts.where("ranks IS NOT NULL").select("content", "m", "text").join(todo, "content").select("content", "m", "text", "todo")
+        spans, todo = _judged(_mapped(finer, _ROW, _finer(width)), folder)
         every = every.unionByName(spans)
     by_text = every.groupBy("content").agg(F.collect_list(F.struct("lo", "end")).alias("spans"))
     cut = texts.where("m = 1").select("content", "text").join(by_text, "content").select("content", "text", "spans")
-    told = _mapped(cut, "content binary, n_removed long, n_spans long, kept_sha256 string", _cut)
+    told = _mapped(cut, "content long, n_removed long, n_spans long, kept_sha256 string", _cut)
     copied = distinct.where("m > 1 AND size(names) > 0").select("content", F.lit(True).alias("copied"))
-    told = cut_lineage(told.join(copied, "content", "full").join(passages, "content", "full"))
-    path = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    told = told.join(copied, "content", "full").join(passages, "content", "full")
+    told = cut_lineage(distinct.select("digest", "content").join(told, "content").drop("content"))
+    _removed(spark, folder)
     none = F.lit(0).cast("long")
-    out = light.join(told, "content", "left")
+    out = light.join(told, "digest", "left")
     return out.select(
         "doc_id", "n_bytes",
         F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
